@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in small batches: whole texts differ in length, and an executor holds several batches per task."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that what Python holds at once stays small."""
     for batch in batches:
