@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import slices, texts_of
+from quarry.llm.common import mapped, slices, texts_of
 from quarry.llm.tokens import default_vocabulary, encoder
 
 ROWS = 512
@@ -33,7 +33,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -47,7 +47,7 @@ def decode(tokens: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return mapped(tokens.select(id_col, "ids"), run, f"`{id_col}` {kind}, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -68,4 +68,4 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

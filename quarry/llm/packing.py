@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import slices, texts_of
+from quarry.llm.common import mapped, slices, texts_of
 from quarry.llm.tokens import default_vocabulary, fast_encoder
 
 SIZE, END = 2048, 1
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end:
             yield out(rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {SCHEMA}")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import slices, texts_of
+from quarry.llm.common import mapped, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 ANY = re.compile(r"[0-9@]")
@@ -261,7 +261,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     names = [f"n_{k}" for k in KINDS]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_added long")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str) -> str:
@@ -289,4 +289,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array([n if t is None else len(t) for t, n in zip(texts, b.column(k).to_pylist(), strict=True)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

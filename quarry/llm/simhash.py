@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored, texts_of
+from quarry.llm.common import mapped, slices, stored, texts_of
 from quarry.llm.graph import components
 
 #: For each byte, its bits as eight counters of eight bits.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long")
 
 
 def variants(radius: int, bits: int = 64) -> list[int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, texts_of
+from quarry.llm.common import mapped, slices, texts_of
 
 STRIP = "\"'“”„‘’«»()[]{}<>.,;:!?…*_~-–—/\\|"
 OPEN, CLOSE = "\"“„«‘", "\"”“»’"
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *(pa.array([s[k] for s in sums], pa.float64()) for k in range(3))], [id_col, "score", "abuse", "misspelled", "quoted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, abuse double, misspelled double, quoted double")
+    scored = mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, abuse double, misspelled double, quoted double")
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "abuse", "misspelled", "quoted")
 
 
@@ -335,4 +335,4 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = [scorer.score(t) < 0.5 for t in texts_of(b.column(names.index("text")))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
