@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, digest, packing, pii, simhash, toxicity
+from quarry.llm import ann, bpe, digest, materialise, packing, pii, quotes, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the folder's name, which differs from run to run."""
+    return materialise.materialise(table(spark, sf_dir, "documents")).drop("folder")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -31,10 +36,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -50,8 +63,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_bpe, op5_packing, op7_simhash, op9_digest, op10_ann, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_shards, op3_pii, op4_bpe, op5_packing, op6_urls, op7_simhash, op8_quotes, op9_digest, op10_ann, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_urls": urls.SQL, "op8_quotes": quotes.SQL}
