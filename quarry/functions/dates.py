@@ -14,6 +14,21 @@ def normal(year: Column, month: Column, day: Column, hour: Column, minute: Colum
     return F.concat_ws("-", part(year, 4), part(month, 2), part(day, 2), part(hour, 2), part(minute, 2))
 
 
+MONTHS = ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember")
+NAMED = r"(?i)\b\d{1,2}\.? (?:" + "|".join(MONTHS) + r") \d{4}\b"
+
+
+def named(text: Column) -> Column:
+    """Normal forms of dates with a German month's name."""
+    months = F.array(*[F.lit(m) for m in MONTHS])
+
+    def one(d: Column) -> Column:
+        w = F.split(F.lower(F.replace(d, F.lit("."), F.lit(""))), " ")
+        return _joined(w[2], F.array_position(months, w[1]).cast("string"), w[0])
+
+    return F.transform(F.regexp_extract_all(text, F.lit(NAMED), F.lit(0)), one)
+
+
 def found(text: Column) -> Column:
     """Normal forms of the numeric dates dd.mm.yyyy and yyyy-mm-dd in a text, as an array."""
     german = F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{1,2}\.\d{1,2}\.\d{4}\b"), F.lit(0)), lambda d: _joined(F.split_part(d, F.lit("."), F.lit(3)), F.split_part(d, F.lit("."), F.lit(2)), F.split_part(d, F.lit("."), F.lit(1))))

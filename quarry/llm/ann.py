@@ -3,7 +3,8 @@
 Fitting: k-means on a bounded sample (`sample` vectors, chosen by a hash of the id) gives at most `max_lists` centroids;
 these and a random rotation go to every task. Every vector is in the list of its nearest centroid. How many of the nearest
 lists a query scans is learned from the sample too: as many as hold the share `recall` of true neighbours there, and at least
-FLOOR vectors. In a list, rotated vectors are read in
+FLOOR vectors. The first lists, of some NEAR vectors, are scanned before the rest, which need only return what isn't
+farther than the k-th best there. In a list, rotated vectors are read in
 blocks of columns: after each block, a candidate whose partial distance is too large, by a hypothesis test, for its whole
 distance to be below the k-th best so far is abandoned. Survivors are measured exactly, on the original vectors.
 
@@ -31,6 +32,7 @@ from quarry.llm.common import mapped, stored
 PART, QUERY_BLOCK = 4000, 4000
 COLUMNS = 16
 FLOOR = 4000
+NEAR = 500
 EPSILON = 2.1
 
 
@@ -70,23 +72,25 @@ def probes(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 2
     return 1 + int(np.quantile(each, recall, method="higher")) if len(each) else 1
 
 
-def scan(q: np.ndarray, rotated_q: np.ndarray, x: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, ids) of the k nearest in one part, ties to smaller ids."""
+def scan(q: np.ndarray, rotated_q: np.ndarray, x: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, k: int, bound: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest within `bound` in one part, ties to smaller ids."""
     d, n = len(q), len(x)
     exact = lambda rows: np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
-    alive = np.arange(n)
-    if n > 4 * k:
-        first = exact(alive[: 2 * k])
-        bound = np.partition(first, k - 1)[k - 1] ** 2
-        alive, part, seen = alive[2 * k :], np.zeros(n - 2 * k), 0
+    alive, first = np.arange(n), np.arange(0)
+    if bound == math.inf and n > 4 * k:
+        first, alive = alive[: 2 * k], alive[2 * k :]
+        bound = np.partition(exact(first), k - 1)[k - 1]
+    if bound < math.inf:
+        part, seen = np.zeros(len(alive)), 0
         for b in blocks:
             part = part + ((b[alive] - rotated_q[seen : seen + b.shape[1]]) ** 2).sum(axis=1)
             seen += b.shape[1]
-            limit = bound if seen == d else bound * seen / d * (1 + EPSILON / math.sqrt(seen)) ** 2
+            limit = bound * bound * (1 if seen == d else seen / d * (1 + EPSILON / math.sqrt(seen)) ** 2)
             keep = part <= limit * (1 + 1e-9)
             alive, part = alive[keep], part[keep]
-        alive = np.concatenate([np.arange(2 * k), alive])
+    alive = np.concatenate([first, alive])
     dist = exact(alive)
+    alive, dist = alive[dist <= bound], dist[dist <= bound]
     order = np.lexsort((ids[alive], dist))[:k]
     return dist[order], ids[alive][order]
 
@@ -137,18 +141,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
                 continue
             order = nearest(matrix(b.column(1), d), centers, lists)
             enough = np.maximum(share, 1 + (np.cumsum(held[order], axis=1) < max(most, FLOOR)).sum(axis=1)).clip(max=lists)
-            rows, found, part = [], [], []
+            before = np.cumsum(held[order], axis=1) - held[order]
+            rows, found, part, first = [], [], [], []
             for i, n in enumerate(enough.tolist()):
-                for one in order[i, :n].tolist():
+                for one, earlier in zip(order[i, :n].tolist(), before[i].tolist(), strict=False):
                     if held[one]:
-                        rows += [i] * int(parts[one])
-                        found += [one] * int(parts[one])
-                        part += range(int(parts[one]))
+                        times = int(parts[one])
+                        rows += [i] * times
+                        found += [one] * times
+                        first += [earlier < NEAR] * times
+                        part += range(times)
             taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(found, pa.int32()), pa.array(part, pa.int32())], ["rep", "v", "list", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(found, pa.int32()), pa.array(part, pa.int32()), pa.array(first, pa.bool_())], ["rep", "v", "list", "part", "first"])
 
     looked = asked.select("rep").distinct().join(placed.select("rep", "v"), "rep")
-    probed = mapped(looked, choose, f"rep long, v {kind}, list int, part int")
+    probed = mapped(looked, choose, f"rep long, v {kind}, list int, part int, first boolean")
     n_asked = np.zeros(lists, np.int64)
     for r in probed.where("part = 0").groupBy("list").count().collect():  # a row per list
         n_asked[r[0]] = r[1]
@@ -166,13 +173,22 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
             turned = x @ turn
             columns = [np.ascontiguousarray(turned[:, a : a + COLUMNS]) for a in range(0, d, COLUMNS)]
             q = matrix(right["v"].combine_chunks(), d)
-            for rep, a, b in zip(right["rep"].to_pylist(), q, q @ turn, strict=True):
-                dist, near = scan(a, b, x, columns, ids, most)
+            for (rep, bound), a, b in zip(zip(right["rep"].to_pylist(), right["bound"].to_pylist(), strict=True), q, q @ turn, strict=True):
+                dist, near = scan(a, b, x, columns, ids, most, bound)
                 out.append((np.full(len(near), rep), near, dist))
         return pa.table({n: pa.array(np.concatenate([o[i] for o in out]), t) for i, (n, t) in enumerate((("rep", pa.int64()), ("near", pa.int64()), ("score", pa.float64())))})
 
-    met = dealt.groupBy("list", "part", "block").cogroup(probed.groupBy("list", "part", "block")).applyInArrow(match, "rep long, near long, score double")
-    best = met.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("score", "near"))).where(F.col("n") <= most)
+    def met(asking: DataFrame) -> DataFrame:
+        by = ["list", "part", "block"]
+        return dealt.groupBy(*by).cogroup(asking.select("rep", "v", *by, "bound").groupBy(*by)).applyInArrow(match, "rep long, near long, score double")
+
+    def nearest_of(found: DataFrame) -> DataFrame:
+        return found.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("score", "near"))).where(F.col("n") <= most).drop("n")
+
+    first = stored(nearest_of(met(probed.where("first").withColumn("bound", F.lit(math.inf)))), "first")
+    bounds = first.groupBy("rep").agg(F.when(F.count("*") == most, F.max("score")).alias("bound"))
+    rest = met(probed.where("not first").join(bounds, "rep", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf))))
+    best = nearest_of(first.unionByName(rest))
     ids = best.join(entries.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "score", F.explode("ids").alias("vec_id"))
     top = ids.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("n") <= most)
     top = top.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found"))  # at most k + 1

@@ -48,9 +48,18 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-def written(c: np.ndarray) -> str:
+def packed(c: np.ndarray) -> bytes:
     q = c[1:].reshape(-1, 4)
-    return (bytes(c[:1]) + (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes()).hex()
+    return bytes(c[:1]) + (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    return np.concatenate([b[:1], (b[1:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()])
+
+
+def written(c: np.ndarray) -> str:
+    return packed(c).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -105,7 +114,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             for key, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 r = int(np.searchsorted(bounds, key, "right"))
                 raw = text.encode()
-                row = (key, xxhash.xxh64_intdigest(raw) >> 1, pack(raw), codes(text).tobytes())
+                row = (key, xxhash.xxh64_intdigest(raw) >> 1, pack(raw), packed(codes(text)))
                 rows.append((r, 0, *row))
                 if key == first[r]:
                     rows.append((before[r], 1, *row))
@@ -122,7 +131,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         for b in slices(batches, 512):
             rows = []
             for r, halo, key, _, z, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                now = (r, halo, key, unpack(z).decode(), np.frombuffer(c, np.uint8))
+                now = (r, halo, key, unpack(z).decode(), unpacked(c))
                 if last and last[0] == r and not last[1]:
                     text = edited(last[3], now[3])
                     own, other = last[4], codes(text)

@@ -45,6 +45,16 @@ def reduce_groups(rows: DataFrame, fn: Callable[[object, Iterable], object | Non
     return rows.groupBy("key").applyInPandas(run, f"key {kind}, value {value_type}")
 
 
+def map_fold(rows: DataFrame, mapped: Column, fold: Callable[[Column], Column]) -> DataFrame:
+    """One row: all rows mapped, then folded as a tree of partial aggregates. No rows give null, where a fold has no start."""
+    return rows.select(mapped.alias("x")).agg(fold(F.col("x")).alias("value"))
+
+
+def partitioned(pairs: DataFrame, part: Column, n: int) -> DataFrame:
+    """Pairs with the part, 0..n-1, that a custom partitioner gives their key, dealt out by it."""
+    return pairs.withColumn("part", F.pmod(part, F.lit(n)).cast("int")).repartition(n, "part")
+
+
 def word_frequency(rows: DataFrame, text: str) -> DataFrame:
     return map_reduce(rows, pairs(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.lit(1)), F.sum("value"))
 

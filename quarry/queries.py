@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
+from quarry.functions import signatures as S
 from quarry.functions import text as X
+from quarry.operators import crawl as C
 from quarry.operators import graph as G
 from quarry.operators import index as I
 from quarry.operators import mapreduce as M
 from quarry.operators import rank as R
+from quarry.plans import dialects
 from quarry.plans.evaluate import Evaluator, QueryConfig, limited
 from quarry.plans.fuzzy import GERMAN, FuzzyConfig, fuzz
 from quarry.sources.tables import table
@@ -727,3 +730,109 @@ def stream_index(s: SparkSession, d: str) -> DataFrame:
     base = f"{(s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/quarry/stream-{uuid.uuid4().hex}"
     incremental.run(s, f"{d}/documents.parquet*", docs(s, d).schema, base, f"{base}/checkpoint").awaitTermination()
     return flat(incremental.current(s, base).where("context = 'content' and word = 'The'"))
+
+
+# Further operators: crawl rounds, dictionaries, shards, dialects, codecs
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, CAST(unnest([(o_custkey * 7 + 1) % 2000, (o_orderkey * 13 + 5) % 2000]) AS VARCHAR) AS dst FROM orders),
+b(uri, level) AS (SELECT '7', 0 UNION SELECT dst, level + 1 FROM b JOIN e ON e.src = b.uri WHERE level < 4) SELECT uri, CAST(min(level) AS INT) AS level FROM b GROUP BY uri""")
+def crawl_levels(s: SparkSession, d: str) -> DataFrame:
+    """Clicks from a start, by rounds over a frontier."""
+    e = trade(s, d).distinct().select("src", F.col("dst").alias("uri"))
+    return C.crawl(s.createDataFrame([("7",)], "uri string"), lambda batch: e.join(batch.select(F.col("uri").alias("src")), "src"), 4)
+
+
+@query("SELECT DISTINCT u AS uri FROM (SELECT unnest([url, CASE WHEN page_id % 10 = 0 THEN url || '/moved' END]) AS u FROM pages WHERE page_id % 7 <> 0) WHERE u IS NOT NULL")
+def crawl_redirects(s: SparkSession, d: str) -> DataFrame:
+    """URIs settled by usable answers, redirects included. Status and target are made up from the id."""
+    p = pages(s, d).select(F.col("url").alias("uri"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("/moved"))).alias("location"))
+    return C.with_redirects(C.usable(p))
+
+
+@query(f"WITH {PAGE_POST}, t AS (SELECT DISTINCT word FROM page_tok WHERE context = 'title' AND length(word) > 1 AND regexp_matches(word, '\\p{{L}}')), {TOK}, c AS (SELECT DISTINCT word FROM tok) SELECT word, word IN (SELECT word FROM c) AS shared FROM t")
+def dict_cut(s: SparkSession, d: str) -> DataFrame:
+    """A dictionary split by another: words of page titles, and whether documents have them too."""
+    t = I.tokens(pages(s, d), I.PAGES[:1], "page_id").select("word").distinct()
+    c = docs(s, d).select(F.explode(X.words(F.col("text"))).alias("word")).distinct().withColumn("shared", F.lit(True))
+    return t.join(c, "word", "left").select("word", F.coalesce("shared", F.lit(False)).alias("shared"))
+
+
+def sharded(s: SparkSession, d: str) -> DataFrame:
+    """A query over document-partitioned shards: each answers by itself, and the answers' union is the whole answer."""
+    p = post(s, d)
+    parts = [Evaluator(p.where(F.col("doc_id") % 3 == k))("th AND NOT de") for k in range(3)]
+    return flat(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+query(SQL["q_but"], "q_sharded")(sharded)
+
+
+@query(SQL["q_optimize_and"].replace("starts_with(word_lc, 'the')", "starts_with(word_lc, 'the') OR starts_with(word_lc, 'src3')"))
+def q_dialect(s: SparkSession, d: str) -> DataFrame:
+    """Plain words of the API dialect are fuzzy; these two have hits of their own."""
+    return flat(Evaluator(post(s, d))(dialects.api("the OR src3")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-26' AND DATE '1996-03-03' OR CAST(o_orderdate AS DATE) = DATE '1997-01-05'")
+def date_rewrite(s: SparkSession, d: str) -> DataFrame:
+    """A query with a date and an alias, rewritten and asked of an index of normal forms."""
+    import datetime as dt
+
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("dates").alias("context"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("word"), F.array(F.lit(1)).alias("positions"))
+    text = dialects.dated("5.1.1997 OR this week", dt.date(1996, 2, 29))
+    return Evaluator(I.with_lower(o))(text).select(F.col("doc_id").alias("o_orderkey")).distinct()
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '-**-**' AS found FROM orders")
+def date_named(s: SparkSession, d: str) -> DataFrame:
+    """Dates with month names, found and brought to normal form."""
+    months = F.array(*[F.lit(m.capitalize()) for m in D.MONTHS])
+    text = F.concat(F.lit("am "), F.date_format("o_orderdate", "d"), F.lit(". "), F.element_at(months, F.month("o_orderdate")), F.lit(" "), F.date_format("o_orderdate", "yyyy"), F.lit(" um"))
+    return table(s, d, "orders").select("o_orderkey", F.array_join(D.named(text), ",").alias("found"))
+
+
+@query("SELECT p_partkey, 'b' || p_size || ' -> ' || 'c' AS shown, 'a -> b' AS norm, true AS told FROM part")
+def fn_signatures(s: SparkSession, d: str) -> DataFrame:
+    """Signatures brought to forms without blanks and with type variables named in order."""
+    t = F.concat(F.lit("b"), F.col("p_size"), F.lit("  ->c"))
+    return table(s, d, "part").select("p_partkey", S.stripped_udf(t).alias("shown"), S.normal_udf(t).alias("norm"), S.is_signature(t).alias("told"))
+
+
+@query("SELECT page_id, url_encode(url) AS coded, url AS back FROM pages")
+def fn_url_codec(s: SparkSession, d: str) -> DataFrame:
+    return pages(s, d).select("page_id", F.url_encode("url").alias("coded"), F.url_decode(F.url_encode("url")).alias("back"))
+
+
+@query(r"SELECT doc_id, pos AS at, array_to_string(w[greatest(pos - 5, 1):pos - 1], ' ') AS before, array_to_string(w[pos + 1:pos + 5], ' ') AS after FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the')) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents))")
+def fn_around(s: SparkSession, d: str) -> DataFrame:
+    """Five words before and after each place of a word."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    at = docs(s, d).select("doc_id", w.alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "word")).where("word = 'the'")
+    before = F.expr("slice(w, greatest(pos - 4, 1), pos - greatest(pos - 4, 1) + 1)")
+    return at.select("doc_id", (F.col("pos") + 1).cast("long").alias("at"), F.array_join(before, " ").alias("before"), F.array_join(F.expr("slice(w, pos + 2, 5)"), " ").alias("after"))
+
+
+@query("SELECT max(len(regexp_split_to_array(text, '\\s+'))) AS value FROM documents")
+def mr_map_fold(s: SparkSession, d: str) -> DataFrame:
+    return M.map_fold(docs(s, d), F.size(F.split("text", r"\s+")).cast("long"), F.max)
+
+
+@query(r"SELECT CAST(length(word) % 4 AS INT) AS part, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM documents) GROUP BY 1")
+def mr_partition(s: SparkSession, d: str) -> DataFrame:
+    """Keys dealt to parts by a partitioner of one's own: word length."""
+    words = docs(s, d).select(F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("key"))
+    return M.partitioned(words, F.length("key"), 4).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, '{\"cmd\":\"insert\",\"uri\":\"doc:' || doc_id || '\",\"lang\":\"' || lang || '\"}' AS command FROM documents")
+def result_commands(s: SparkSession, d: str) -> DataFrame:
+    """Insert commands for another search server, one JSON object per document."""
+    return docs(s, d).select("doc_id", F.to_json(F.struct(F.lit("insert").alias("cmd"), F.concat(F.lit("doc:"), "doc_id").alias("uri"), "lang")).alias("command"))
+
+
+@query("SELECT doc_id, sha1(unhex(lpad(to_hex(strlen('doc:' || doc_id)), 16, '0')) || encode('doc:' || doc_id)) AS digest FROM documents")
+def idx_hashed_ids(s: SparkSession, d: str) -> DataFrame:
+    """The digest that hashed document ids are the low 64 bits of: over the length in eight bytes, then the URI."""
+    uri = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    return docs(s, d).select("doc_id", F.sha1(F.concat(F.unhex(F.lpad(F.hex(F.octet_length(uri)), 16, "0")), F.encode(uri, "UTF-8"))).alias("digest"))
