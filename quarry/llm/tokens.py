@@ -15,10 +15,16 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+from tokenizers import pre_tokenizers
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 EDGE = re.compile(r" (?:\s|\Z)")
 CROSSING = re.compile(r"\s (?:\s|\Z)")
+#: Outside the blocks whose classes are old and settled, libraries differ by the Unicode version that they know; there the
+#: tokenizers library itself splits.
+UNSETTLED = re.compile("[^\x00-\u0557\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u1e00-\u206f\u20a0-\ua48f\uac00-\ud7a3\ufe00-\uffff\U0001f000-\U0001faff]")
+#: The native encoder's pattern recurses on white space.
+LONG_BLANK = re.compile(r"\s{500}")
 #: Chunks that a cache keeps for good, the first it meets and so nearly all frequent ones; as many again come and go. This
 #: bounds memory and never changes a result.
 CACHE = 250_000
@@ -83,6 +89,7 @@ class TrieBpe:
         self.seam: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.heads, self.tails = Cache(), Cache()
+        self.pre = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token a followed by token b is how their bytes together are encoded.
@@ -209,7 +216,9 @@ class TrieBpe:
         """
         plain, odd = {}, {}
         for k, t in enumerate(texts):
-            if EDGE.search(t) and CROSSING.search(t):
+            if not t.isascii() and UNSETTLED.search(t):
+                odd[k] = [t[a:b] for _, (a, b) in self.pre.pre_tokenize_str(t)]
+            elif EDGE.search(t) and CROSSING.search(t):
                 odd[k] = SPLIT.findall(t)
             else:
                 plain[k] = t.split(" ")
@@ -254,12 +263,14 @@ class FastBpe:
     def __init__(self, path: str):
         import tiktoken
 
-        slow = TrieBpe(path)
+        self.slow = slow = TrieBpe(path)
         self.bytes, self.special, self.cut = slow.bytes, slow.special, slow.cut
         self.core = tiktoken.Encoding("file", pat_str=SPLIT.pattern, mergeable_ranks=slow.ids, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         """Ids (unsigned 32 bits) of a whole text. Special tokens inside it count as themselves."""
+        if LONG_BLANK.search(text):
+            return np.frombuffer(self.slow.encode([text])[0], "<u4")
         if any(s in text for s in self.special):
             parts = [np.array([self.special[p]], np.uint32) if k % 2 else self._plain(p) for k, p in enumerate(self.cut.split(text))]
             return np.concatenate(parts)

@@ -82,6 +82,21 @@ def test_both_encoders_agree(library):
         assert np.frombuffer(slow.encode([t])[0], "<u4").tolist() == want == fast.encode(t).tolist()
 
 
+@pytest.mark.parametrize("text", [" " * 300_000, "x" + "\n" * 70_000 + "y", "\u3000" * 20_000, "a" * 300_000, "!" * 300_000])
+def test_long_runs(library, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(TrieBpe(default_vocabulary()).encode([text])[0], "<u4").tolist() == want == FastBpe(default_vocabulary()).encode(text).tolist()
+
+
+def test_letters_of_any_unicode_version(library):
+    """A character may be a letter to one library and unknown to another."""
+    slow, fast = TrieBpe(default_vocabulary()), FastBpe(default_vocabulary())
+    for c in [*range(0x500, 0x3100, 5), *range(0xA480, 0xAC00), *range(0x10000, 0x1F000, 23), *range(0x2A000, 0x40000, 97)]:
+        t = f"{chr(c)}'re{chr(c)}a{chr(c)}1 {chr(c)}"
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(slow.encode([t])[0], "<u4").tolist() == want == fast.encode(t).tolist()
+
+
 def test_cache_bound_changes_nothing(monkeypatch, library, docs):
     from quarry.llm import tokens
 
