@@ -21,7 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -218,6 +218,17 @@ def bounded(sums: tuple[float, float, float]) -> tuple[float, float]:
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def several(texts: Iterable[set[str]], enough: float, alike: float = 0.5) -> bool:
+    """Whether so many of these texts, as sets of words, are no near copies of each other."""
+    apart: list[set[str]] = []
+    for words in texts:
+        if all(len(words & other) < alike * len(words | other) for other in apart):
+            apart.append(words)
+            if len(apart) >= enough:
+                return True
+    return False
+
+
 def learn(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 14) -> Model:
     """The model from (text, label) rows."""
     rows = [(t or "", int(y)) for t, y in rows]
@@ -257,7 +268,9 @@ def learn(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 14) ->
                 break
             p = alike[0]
     terms += [(p[:-1], False) for p in good if p.endswith("$") and not any(p[:k] in good for k in range(shortest, len(p)))]
-    model = Model(terms=[(t, stem, edits_for(t, stem)) for t, stem in sorted(set(terms))])
+    holding = lambda t, stem: (words for words in groups[1].values() if (any(w.startswith(t) for w in words) if stem else t in words))
+    terms = [(t, stem) for t, stem in sorted(set(terms)) if several(holding(t, stem), least)]
+    model = Model(terms=[(t, stem, edits_for(t, stem)) for t, stem in terms])
     k = len(model.terms)
     model.exact, model.fuzzy = [1.0] * k, [1.0] * k
     scorer, counts = Scorer(model), np.zeros((2, 2, k))  # label, misspelled, term
@@ -268,7 +281,13 @@ def learn(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 14) ->
                 counts[y, int(e > 0), term] += 1
     rate = (counts + 0.5) / np.array([n0 + 1, n1 + 1])[:, None, None]
     eps = 2 / min(n0, n1)
-    worth = np.clip((rate[1] - rate[0] + 0.75 * eps) / (rate[1] + rate[0] + eps), 0, 1)
+    worth = np.empty((2, k))
+    stems = np.array([stem for _, stem, _ in model.terms], bool)
+    for kind in (stems, ~stems):  # a term of which little is seen is worth what its like are: stems misspelled are often other words
+        for e in (0, 1):
+            toxic_rate, clean_rate = rate[1, e, kind], rate[0, e, kind]
+            usual = np.clip((toxic_rate.sum() - clean_rate.sum() + 0.75 * eps) / (toxic_rate.sum() + clean_rate.sum() + eps), 0, 1)
+            worth[e, kind] = np.clip((toxic_rate - clean_rate + usual * eps) / (toxic_rate + clean_rate + eps), 0, 1)
     model.exact, model.fuzzy = worth[0].tolist(), worth[1].tolist()
     scorer = Scorer(model)
     x = np.array([[1.0, *bounded(scorer.sums(t))] for t, _ in rows])
@@ -296,7 +315,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_chars: int = 200_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_chars: int = 20_000) -> Model:
     """Fits on at most `sample` toxic and 2 * `sample` clean rows (whole texts of up to sample_chars characters)."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")).where(~held_out("doc_id"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]

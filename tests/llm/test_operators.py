@@ -249,6 +249,22 @@ def train_rows():
     return [(plain(), 0) for _ in range(200)] + [(f"{plain()} {rng.choice(['grumpface', 'zonkleton', 'wibbleabc', 'wibblexyz', 'wibbleq'])} {plain()}", 1) for _ in range(200)]
 
 
+def test_near_copies_teach_once():
+    """What only edited copies of one toxic text share is no toxic word."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("bcdfgklmnprst")) + rng.choice(list("aeiou")) for _ in range(3)) for _ in range(900)]
+    text = lambda n: list(rng.choice(words, n))
+    copied = [*text(60), "zzyzxu", "qwolpha"]
+    rows = [(" ".join([*text(50), "you", "vorklap"]), 1) for _ in range(120)] + [(" ".join(text(60)), 0) for _ in range(600)]
+    for _ in range(150):
+        copy = list(copied)
+        for at in rng.choice(60, 6, replace=False):
+            copy[at] = str(rng.choice(words))
+        rows.append((" ".join(copy), 1))
+    known = [t for t, _, _ in toxicity.learn(rows).terms]
+    assert any("vorklap".startswith(t) for t in known) and not any(w.startswith(t) for t in known for w in ("zzyzxu", "qwolpha"))
+
+
 def test_toxic_spellings_and_quotation():
     model = toxicity.learn(train_rows())
     assert {t[0] for t in model.terms} == {"grumpface", "zonkleton", "wibble"}
@@ -459,6 +475,30 @@ def test_quotes(spark):
 # 2
 
 
+def test_quotes_in_sql(spark):
+    """Nested quotes, attributions, later and unknown originals, missing ids and repeated turns, held against the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [
+        (1, 1, "user", "Hello there.\nSecond line\n\nNew para here"), (1, 2, "bot", "> Hello there.\n>> deep quote\n>> more\n> back\nmy answer"), (1, 3, "user", "Bob wrote:\n> my answer\nagree"), (1, 4, "user", "unrelated"),
+        (1, 4, "user", "again\n> NEW   para here!"), (2, 1, None, None), (2, 2, "u", ""), (None, 3, "u", "> x"), (3, None, "u", "hi"), (4, 1, "a", "deep quote\nmore"), (4, 2, "a", "> > deep quote\n> > more\nok"), (4, 3, "a", "> > ok\n>ok\n > fine"), (5, 5, "x", "> self"), (5, 6, "x", "self\n> self"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit(1))
+    got = quotes.rendered(df)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({quotes.SQL})").fetchall()
+    assert ordered(tuple(r) for r in got.collect()) == ordered(want)
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got.collect() if r.parent_turn is not None} == {(1, 2): 1, (1, 3): 2, (1, 4): 1, (4, 2): 1, (4, 3): 2}
+
+
+def test_long_quotes(spark):
+    """A message of very many lines at changing levels keeps each passage."""
+    text = "\n".join(">" * (i % 3) + f"line {i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, 1, "u", text)], "conv_id long, turn long, role string, text string")
+    assert quotes.rendered(df).select("n_quotes", "max_level").first() == (40_000, 2)
+
+
 def test_shards(docs, odd, empty, library):
     for n in (1, 2, 3, 5, 17, 1000, 4097):
         slots = materialise.permuted(np.arange(n), n)
