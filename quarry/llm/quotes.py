@@ -50,16 +50,14 @@ def parsed(messages: DataFrame) -> DataFrame:
     m = m.withColumn("lines", F.transform("lines", lambda x, i: F.struct(F.when((x["level"] == 0) & x["text"].rlike(WROTE) & (after(i) > 0), -1).otherwise(x["level"]).alias("level"), x["text"].alias("text"))))
     own = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"])
     body = F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
-    none = F.array().cast("array<struct<level:int,text:string>>")
-
-    def run(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))))
-        return F.when((F.size(acc) > 0) & (last["level"] == x["level"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["level"].cast("int").alias("level"), x["text"].alias("text")))))
-
-    quoted = F.exists("lines", lambda x: x["level"] > 0)
-    passages = F.when(quoted, F.filter(F.aggregate("lines", none, run), lambda x: x["level"] > 0)).otherwise(none)
-    return m.select("conv_id", "turn", "role", body.alias("body"), passages.alias("quotes"))
+    # Where a run of quoted lines begins, and the line after its last.
+    at = lambda i: F.try_element_at("lines", i + 1)["level"]
+    begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (at(i) > 0) & ((i == 0) | (at(F.greatest(i - 1, F.lit(0))) != at(i))))
+    ends = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (at(i - 1) > 0) & ((i == F.size("lines")) | (at(i - 1) != F.coalesce(at(i), F.lit(0)))))
+    m = m.select("conv_id", "turn", "role", body.alias("body"), "lines", F.arrays_zip(begins.alias("begin"), ends.alias("end")).alias("runs"))
+    text = lambda r: F.array_join(F.transform(F.slice("lines", r["begin"] + 1, r["end"] - r["begin"]), lambda x: x["text"]), "\n")
+    passages = F.transform("runs", lambda r: F.struct(at(r["begin"]).cast("int").alias("level"), text(r).alias("text")))
+    return m.select("conv_id", "turn", "role", "body", passages.alias("quotes"))
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -95,11 +93,34 @@ def rendered(messages: DataFrame) -> DataFrame:
     return threads(messages).withColumn("line", F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("body"), F.lit("\n")))
 
 
-#: The same in DuckDB's SQL, where no message quotes another; tests hold links and threads against brute force.
-SQL = """
-SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, 0 AS n_quotes, 0 AS max_level, CAST(NULL AS BIGINT) AS parent_turn,
-       min(turn) OVER (PARTITION BY conv_id) AS thread_turn,
-       lpad(CAST(min(turn) OVER (PARTITION BY conv_id) AS VARCHAR), 12, '0') || '/' || lpad(CAST(turn AS VARCHAR), 12, '0') AS reply_order,
-       '<|' || coalesce(role, 'user') || '|>' || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || chr(10) AS line
-FROM conversations
+#: The same in DuckDB's SQL; threads by recursion over the links of a conversation.
+SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+cut AS (SELECT rid, conv_id, turn, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM m),
+lev AS (SELECT rid, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(x, '^((?:[ \t]*>)+)[ \t]?', '') AS text FROM cut),
+told AS (SELECT rid, conv_id, turn, i, text, CASE WHEN level = 0 AND regexp_matches(text, '(?i)(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$') AND lead(level, 1, 0) OVER (PARTITION BY rid ORDER BY i) > 0 THEN -1 ELSE level END AS level FROM lev),
+own AS (SELECT rid, regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS body FROM told GROUP BY rid),
+edge AS (SELECT *, CASE WHEN level <> lag(level, 1, -2) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM told),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM edge),
+passage AS (SELECT rid, conv_id, turn, run, any_value(level) AS level, string_agg(text, chr(10) ORDER BY i) AS text FROM run WHERE level > 0 GROUP BY ALL),
+pieces AS (
+  SELECT true AS quoted, conv_id, turn, unnest(list_concat([text], regexp_split_to_array(text, '\n\s*\n'), string_split(text, chr(10)))) AS piece FROM passage
+  UNION ALL SELECT false, conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n\s*\n'), string_split(body, chr(10)))) FROM m JOIN own USING (rid)),
+normal AS (SELECT quoted, conv_id, turn, regexp_replace(regexp_replace(lower(piece), '\s+', ' ', 'g'), '^[\s[:punct:]]+|[\s[:punct:]]+$', '', 'g') AS norm FROM pieces WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+first AS (SELECT conv_id, norm, min(turn) AS turn FROM normal WHERE NOT quoted AND norm <> '' GROUP BY conv_id, norm),
+link AS (SELECT n.conv_id, n.turn, max(first.turn) AS parent FROM normal n JOIN first ON n.quoted AND n.conv_id = first.conv_id AND n.norm = first.norm AND first.turn < n.turn GROUP BY n.conv_id, n.turn),
+both_ways AS (SELECT conv_id, turn AS a, parent AS b FROM link UNION SELECT conv_id, parent, turn FROM link),
+reach(conv_id, a, b) AS (SELECT * FROM both_ways UNION SELECT reach.conv_id, reach.a, both_ways.b FROM reach JOIN both_ways ON reach.conv_id = both_ways.conv_id AND reach.b = both_ways.a),
+root AS (SELECT conv_id, a AS turn, least(a, min(b)) AS thread FROM reach GROUP BY conv_id, a),
+start AS (SELECT conv_id, min(turn) AS start FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+quotes AS (SELECT rid, count(*) AS n, max(level) AS level FROM passage GROUP BY rid),
+done AS (
+  SELECT m.conv_id, m.turn, role, body, CAST(coalesce(n, 0) AS INT) AS n_quotes, CAST(coalesce(quotes.level, 0) AS INT) AS max_level, parent AS parent_turn,
+         CASE WHEN m.turn IS NOT NULL THEN coalesce(thread, start) END AS thread_turn
+  FROM m JOIN own USING (rid) LEFT JOIN quotes USING (rid) LEFT JOIN link ON m.conv_id = link.conv_id AND m.turn = link.turn
+  LEFT JOIN root ON m.conv_id = root.conv_id AND m.turn = root.turn LEFT JOIN start ON m.conv_id = start.conv_id)
+SELECT conv_id, turn, role, body, n_quotes, max_level, parent_turn, thread_turn,
+       CASE WHEN turn IS NOT NULL AND conv_id IS NOT NULL THEN lpad(CAST(thread_turn AS VARCHAR), 12, '0') || '/' || lpad(CAST(turn AS VARCHAR), 12, '0') END AS reply_order,
+       '<|' || coalesce(role, 'user') || '|>' || chr(10) || body || chr(10) AS line
+FROM done
 """
