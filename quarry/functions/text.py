@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DESCRIPTION_WORD = r"[A-Za-z][-A-Za-z0-9.@]*[A-Za-z0-9]"
-DULL_URL_PARTS = ("", "http", "www", "wwwab", "fh-wedel", "ptl", "de", "html", "htm", "pdf")
+#: Parts of URLs that say nothing; a site adds those of its own hosts.
+DULL_URL_PARTS = ("", "http", "www", "de", "html", "htm", "pdf")
+#: MIME types that are read as pages, and as documents to be converted.
+PAGE_TYPES = ("text/html", "text/xhtml", "application/xhtml+xml")
+PDF_TYPES = ("application/pdf",)
 
 
 def words(text: Column) -> Column:
@@ -70,6 +74,29 @@ def chunks(items: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.slice(items, i, n))
 
 
+def chunks_by_count(items: Column, n: int) -> Column:
+    """n slices of about equal length, longer ones last; fewer items than n stay one slice."""
+    edge = lambda k: F.floor(F.size(items) * k / n).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.slice(items, edge(k) + 1, edge(k + 1) - edge(k)))
+    return F.when(F.size(items) >= n, parts).otherwise(F.array(items))
+
+
+def stripped(text: Column, left: bool = True, right: bool = True, of: str = r"\s") -> Column:
+    """Without leading or trailing characters of a class."""
+    ends = [p for p, asked in ((f"^{of}+", left), (f"{of}+$", right)) if asked]
+    return F.regexp_replace(text, "|".join(ends), "")
+
+
+def escaped(text: Column) -> Column:
+    """Every character but letters, digits and white space as % and its code point in hexadecimal."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[\p{L}\p{N}\s]"), c).otherwise(F.concat(F.lit("%"), F.lower(F.hex(F.ascii(c)))))), "")
+
+
+def url_decoded(text: Column) -> Column:
+    """Percent escapes as UTF-8; a plus stays a plus."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")
 
@@ -92,5 +119,10 @@ def plain(html: Column) -> Column:
     return tidy(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)>.*?</(script|style)>", " "), r"<[^>]*>", " "))
 
 
+def references(html: Column) -> Column:
+    """What a page loads: images, inputs, linked files, scripts and applets."""
+    return F.regexp_extract_all(html, F.lit(r'<(?:img|input|link|script|applet)\s[^>]*?(?:src|href|code)="([^"]*)"'), F.lit(1))
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<(?:a|frame|iframe)\s[^>]*?(?:href|src)="([^"]*)"'), F.lit(1))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,33 @@ def absolute(base: Column, link: Column) -> Column:
     return F.when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), bare).when(bare.startswith("/"), F.concat(site(base), bare)).otherwise(F.concat(F.regexp_extract(base, r"^(https?://[^/?#]*(?:/[^?#]*)?/)", 1), bare))
 
 
+def resolved(base: Column, link: Column) -> Column:
+    """A link against a base element or its page: other schemes and hosts, bare queries, folders, and . and .. on the way."""
+    bare = F.substring_index(link, "#", 1)
+    top = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(F.instr(path, "/") > 0, F.regexp_extract(path, "^(.*/)", 1)).otherwise(F.lit("/"))
+    told = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+    way, asked = F.regexp_extract(told, r"^([^?]*)", 1), F.regexp_extract(told, r"^[^?]*(.*)$", 1)
+    parts = F.split(way, "/")
+    ends_open = F.element_at(parts, -1).isin("", ".", "..")
+    none = F.array().cast("array<string>")
+
+    def walk(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part.isin(".", ""), done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, none, walk)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_open & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return (
+        F.when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), bare)
+        .when(bare.startswith("//"), F.concat(F.substring_index(base, "//", 1), bare))
+        .when(bare == "", F.substring_index(base, "#", 1))
+        .when(bare.startswith("?"), F.concat(top, path, bare))
+        .otherwise(F.concat(top, joined, asked))
+    )
+
+
 def followed(url: Column, allow: list[str], deny: list[str]) -> Column:
     """Any allow pattern (or none given) and no deny pattern matches as a whole."""
     a = F.lit(True) if not allow else any_of(url, [f"^(?:{p})$" for p in allow])
@@ -76,6 +104,17 @@ def robots_rules(lines: Iterable[str], agent: str) -> list[tuple[int, str, str]]
     return rules
 
 
+def robots_table(files: DataFrame, agent: str) -> DataFrame:
+    """(host, seq, prefix, action) from (host, text) of robots.txt files, each read whole by itself."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(host, *rule) for host, text in zip(f["host"], f["text"], strict=True) for rule in robots_rules((text or "").splitlines(), agent)]
+            yield pd.DataFrame(rows, columns=["host", "seq", "prefix", "action"])
+
+    return files.select("host", "text").mapInPandas(run, "host string, seq long, prefix string, action string")
+
+
 def meta_robots(html: Column, directive: str) -> Column:
     """Whether a robots meta element holds noindex, nofollow or none."""
     content = F.lower(F.regexp_extract(html, r"(?is)<meta\s+name=[\"']robots[\"']\s+content=[\"']([^\"']*)[\"']", 1))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -79,6 +79,30 @@ def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     return with_lower(rest.where(F.size("positions") > 0))
 
 
+def occurrences(spark: SparkSession, rows: list[tuple[str, str, int, list[int]]]) -> DataFrame:
+    """A few (context, word, doc_id, positions) given by hand, to be merged into an index or subtracted from it."""
+    return with_lower(spark.createDataFrame(rows, "context string, word string, doc_id long, positions array<int>"))
+
+
+def listed(postings: DataFrame, span: int = 1024) -> DataFrame:
+    """(context, word, chunk, docs, occurrences): a word's documents and positions in id order, a row for each `span` ids.
+
+    No list is longer than span, whatever share of all documents holds the word.
+    """
+    one = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("positions", " ")).alias("o"))
+    chunk = F.floor(F.col("doc_id") / span).cast("long").alias("chunk")
+    return postings.groupBy("context", "word", chunk).agg(F.count("*").alias("docs"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]), ",").alias("occurrences"))
+
+
+def deltas(positions: Column) -> Column:
+    """Each position less the one before it."""
+    return F.transform(positions, lambda x, i: x - F.coalesce(F.get(positions, i - 1), F.lit(0)))
+
+
+def from_deltas(gaps: Column) -> Column:
+    return F.transform(gaps, lambda x, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, b: a + b))
+
+
 def without_docs(postings: DataFrame, ids: DataFrame) -> DataFrame:
     return postings.join(ids.select("doc_id"), "doc_id", "left_anti")
 
@@ -155,6 +179,22 @@ def allotted(pieces: list[tuple[str, int]], n: int) -> dict[str, int]:
     return part
 
 
+def split(postings: DataFrame, by: str, n: int, buckets: int = 1024) -> DataFrame:
+    """Postings with `part`, 0..n-1, of about equal sizes; a context, document or word is never divided.
+
+    Contexts are allotted by name. Documents and words are first hashed into a fixed number of buckets, so only so many
+    sizes reach the driver.
+    """
+    piece = {"context": F.col("context"), "document": F.col("doc_id").cast("string"), "word": F.col("word")}[by]
+    if by != "context":
+        piece = F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("string")
+    size = F.countDistinct("word") if by == "context" else F.sum(F.size("positions"))
+    found = postings.groupBy(piece.alias("piece")).agg(size.cast("long").alias("size")).collect()  # a row per context or bucket
+    part = allotted([(r.piece, r.size) for r in found], n)
+    by_part = F.create_map(*[F.lit(x) for kv in part.items() for x in kv]) if part else F.create_map().cast("map<string,int>")
+    return postings.withColumn("part", by_part[piece])
+
+
 def statistics(postings: DataFrame) -> DataFrame:
     """Documents, words, postings and positions, of each context and of all (context null)."""
     return postings.rollup("context").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("word").alias("words"), F.count("*").alias("postings"), F.sum(F.size("positions")).cast("long").alias("positions"))

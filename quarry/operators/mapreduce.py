@@ -7,6 +7,7 @@ Python function per key; a key's values then meet in one task, so keys that hold
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -45,6 +46,15 @@ def reduce_groups(rows: DataFrame, fn: Callable[[object, Iterable], object | Non
     return rows.groupBy("key").applyInPandas(run, f"key {kind}, value {value_type}")
 
 
+def job(rows: DataFrame, spec: str) -> DataFrame:
+    """A job described in JSON: `key`, `value` and `reduce` as SQL expressions, `keep`, `splits` and `reducers` as wished."""
+    s = json.loads(spec)
+    unknown = set(s) - {"key", "value", "reduce", "keep", "splits", "reducers"}
+    if unknown:
+        raise ValueError(f"a job has no {', '.join(sorted(unknown))}")
+    return map_reduce(rows, pair(F.expr(s["key"]), F.expr(s["value"])), F.expr(s["reduce"]), s.get("splits"), s.get("reducers"), F.expr(s["keep"]) if "keep" in s else None)
+
+
 def map_fold(rows: DataFrame, mapped: Column, fold: Callable[[Column], Column]) -> DataFrame:
     """One row: all rows mapped, then folded as a tree of partial aggregates. No rows give null, where a fold has no start."""
     return rows.select(mapped.alias("x")).agg(fold(F.col("x")).alias("value"))

@@ -38,7 +38,10 @@ def limited(rows: DataFrame, word_limit: int, doc_limit: int) -> DataFrame:
         return rows
     vocab = rows.groupBy("context", "word").agg(F.countDistinct("doc_id").alias("df"))
     if doc_limit:
-        before = F.sum("df").over(Window.partitionBy("context").orderBy(F.length("word"), "word").rowsBetween(Window.unboundedPreceding, -1))
+        # Every word holds a document, so at most doc_limit words are kept: a bounded number of a context's words meet in a window.
+        shortest = Window.partitionBy("context").orderBy(F.length("word"), "word")
+        vocab = vocab.withColumn("rank", F.row_number().over(shortest)).where(F.col("rank") <= doc_limit).drop("rank")
+        before = F.sum("df").over(shortest.rowsBetween(Window.unboundedPreceding, -1))
         vocab = vocab.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < doc_limit)
     if word_limit:
         rank = F.row_number().over(Window.partitionBy("context").orderBy(F.desc("df"), F.length("word"), "word"))

@@ -15,10 +15,10 @@ from quarry.operators import graph as G
 from quarry.operators import index as I
 from quarry.operators import mapreduce as M
 from quarry.operators import rank as R
-from quarry.plans import dialects
+from quarry.plans import dialects, language
 from quarry.plans.evaluate import Evaluator, QueryConfig, limited
 from quarry.plans.fuzzy import GERMAN, FuzzyConfig, fuzz
-from quarry.sources.tables import table
+from quarry.sources.tables import files, read_index, read_xml, table, upsert_text, write_index, write_sitemap, write_xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,10 +79,9 @@ def idx_scan_context(s: SparkSession, d: str) -> DataFrame:
     return flat(post(s, d).where("context = 'source'"))
 
 
-@query(f"WITH {POST} SELECT context, word, count(*) AS docs, string_agg(doc_id || ':' || array_to_string(positions, ' '), ',' ORDER BY doc_id) AS occurrences FROM postings GROUP BY context, word")
+@query(f"WITH {POST} SELECT context, word, doc_id // 1024 AS chunk, count(*) AS docs, string_agg(doc_id || ':' || array_to_string(positions, ' '), ',' ORDER BY doc_id) AS occurrences FROM postings GROUP BY context, word, doc_id // 1024")
 def idx_to_list(s: SparkSession, d: str) -> DataFrame:
-    one = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("positions", " ")).alias("o"))
-    return post(s, d).groupBy("context", "word").agg(F.count("*").alias("docs"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]), ",").alias("occurrences"))
+    return I.listed(post(s, d))
 
 
 @query(f"WITH {POST} SELECT DISTINCT context FROM postings")
@@ -105,7 +104,7 @@ PAGE_POST = r"""parts AS (
 
 
 @query(f"""WITH {PAGE_POST} SELECT page_id AS doc_id, context, word, array_to_string(list_sort(list(DISTINCT CAST(pos AS INT))), ',') AS positions FROM page_tok
-WHERE CASE WHEN context = 'uri' THEN word NOT IN ('http', 'www', 'wwwab', 'fh-wedel', 'ptl', 'de', 'html', 'htm', 'pdf') ELSE length(word) > 1 AND regexp_matches(word, '\\p{{L}}') END GROUP BY page_id, context, word""")
+WHERE CASE WHEN context = 'uri' THEN word NOT IN ('http', 'www', 'de', 'html', 'htm', 'pdf') ELSE length(word) > 1 AND regexp_matches(word, '\\p{{L}}') END GROUP BY page_id, context, word""")
 def idx_pages(s: SparkSession, d: str) -> DataFrame:
     return flat(I.build(pages(s, d), I.PAGES, "page_id"))
 
@@ -442,7 +441,7 @@ def fn_patterns(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", X.whole_match(F.col("source"), "src[0-9]").alias("whole"), F.regexp_replace(t, "[aeiou]+", "*").alias("replaced"), F.size(F.split(t, r"\s+")).cast("long").alias("parts"))
 
 
-@query("SELECT page_id, array_to_string(regexp_extract_all(url, '[^:/#?=.]+'), '|') AS w, array_to_string(list_filter(regexp_extract_all(url, '[^:/#?=.]+'), lambda x: x NOT IN ('', 'http', 'www', 'wwwab', 'fh-wedel', 'ptl', 'de', 'html', 'htm', 'pdf')), '|') AS kept FROM pages")
+@query("SELECT page_id, array_to_string(regexp_extract_all(url, '[^:/#?=.]+'), '|') AS w, array_to_string(list_filter(regexp_extract_all(url, '[^:/#?=.]+'), lambda x: x NOT IN ('', 'http', 'www', 'de', 'html', 'htm', 'pdf')), '|') AS kept FROM pages")
 def fn_url_words(s: SparkSession, d: str) -> DataFrame:
     w = X.url_words(F.col("url"))
     return pages(s, d).select("page_id", F.array_join(w, "|").alias("w"), F.array_join(F.filter(w, lambda x: ~x.isin(*X.DULL_URL_PARTS)), "|").alias("kept"))
@@ -836,3 +835,197 @@ def idx_hashed_ids(s: SparkSession, d: str) -> DataFrame:
     """The digest that hashed document ids are the low 64 bits of: over the length in eight bytes, then the URI."""
     uri = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
     return docs(s, d).select("doc_id", F.sha1(F.concat(F.unhex(F.lpad(F.hex(F.octet_length(uri)), 16, "0")), F.encode(uri, "UTF-8"))).alias("digest"))
+
+
+# Further maintenance, input and output, functions and jobs
+
+MERGE = "SELECT doc_id, context, word, array_to_string(list_sort(list_distinct(flatten(list(positions)))), ',') AS positions FROM ({}) GROUP BY doc_id, context, word"
+
+
+@query(f"WITH {POST} {MERGE.format('SELECT doc_id, context, word, positions FROM postings UNION ALL VALUES (1, ' + chr(39) + 'content' + chr(39) + ', ' + chr(39) + 'zebra' + chr(39) + ', [7, 9])')}")
+def maint_insert_occurrences(s: SparkSession, d: str) -> DataFrame:
+    return flat(I.merge(post(s, d), I.occurrences(s, [("content", "zebra", 1, [7]), ("content", "zebra", 1, [9, 7])])))
+
+
+@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE NOT (context = 'source' AND word = 'src1' AND doc_id < 100)")
+def maint_delete_occurrences(s: SparkSession, d: str) -> DataFrame:
+    """An occurrence that has no position left is gone, and so is its word."""
+    return flat(I.subtract(post(s, d), I.occurrences(s, [("source", "src1", k, [1]) for k in range(100)])))
+
+
+@query(f"WITH {POST}, z AS (SELECT context, count(DISTINCT word) AS size FROM postings GROUP BY context), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, context) AS r FROM z) SELECT context, CAST(CASE r WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE CASE WHEN (SELECT size FROM r WHERE r = 1) <= (SELECT size FROM r WHERE r = 2) THEN 0 ELSE 1 END END AS INT) AS part FROM r")
+def maint_split_contexts(s: SparkSession, d: str) -> DataFrame:
+    """Contexts allotted to two parts, largest first to the part that holds least."""
+    return I.split(post(s, d), "context", 2).select("context", "part").distinct()
+
+
+for _by2 in ("document", "word"):
+
+    @query(f"WITH {POST} SELECT 4 AS parts, CAST(sum(len(positions)) AS BIGINT) AS positions, true AS even, true AS whole FROM postings", f"maint_split_{_by2}s")
+    def _split(s: SparkSession, d: str, by: str = _by2) -> DataFrame:
+        """Four parts of like size, none of which divides a document or word unless one piece alone is larger than a part."""
+        p = I.split(post(s, d), by, 4)
+        key = "doc_id" if by == "document" else "word"
+        sizes = p.groupBy("part").agg(F.sum(F.size("positions")).alias("n"))
+        most = p.groupBy(key).agg(F.sum(F.size("positions")).alias("n"), F.countDistinct("part").alias("in"))
+        whole = most.agg((F.max("in") == 1).alias("whole"), F.max("n").alias("top"))
+        total = sizes.agg(F.count("*").cast("int").alias("parts"), F.sum("n").cast("long").alias("positions"), F.max("n").alias("largest"))
+        return total.crossJoin(whole).select("parts", "positions", (F.col("largest") <= F.col("positions") * 0.3 + F.col("top")).alias("even"), "whole")  # one row each
+
+
+@query("SELECT doc_id, 'content' AS context, CASE WHEN lang = 'de' THEN upper(source) ELSE source END AS content FROM documents")
+def maint_text_cache(s: SparkSession, d: str) -> DataFrame:
+    """A table of texts by document and context; fresh ones replace what is there."""
+    t = docs(s, d).select("doc_id", F.lit("content").alias("context"), F.col("source").alias("content"), "lang")
+    fresh = t.where("lang = 'de'").withColumn("content", F.upper("content"))
+    return upsert_text(t.drop("lang"), fresh.drop("lang"))
+
+
+@query("SELECT doc_id, '{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}' AS custom FROM documents")
+def maint_simplify(s: SparkSession, d: str) -> DataFrame:
+    """A document's own payload as text."""
+    return docs(s, d).select("doc_id", F.to_json(F.struct("lang", "n_chars")).alias("custom"))
+
+
+@query(f"WITH {POST}, g AS (SELECT doc_id, context, word, positions, list_transform(positions, lambda x, i: x - coalesce(positions[i - 1], 0)) AS gaps FROM postings WHERE starts_with(word_lc, 'th')) SELECT doc_id, context, word, array_to_string(gaps, ',') AS gaps, array_to_string(positions, ',') AS positions FROM g")
+def idx_deltas(s: SparkSession, d: str) -> DataFrame:
+    """Positions as gaps, and back."""
+    p = th(s, d).select("doc_id", "context", "word", I.deltas(F.col("positions")).alias("steps"))
+    return p.select("doc_id", "context", "word", F.array_join("steps", ",").alias("gaps"), F.array_join(I.from_deltas(F.col("steps")), ",").alias("positions"))
+
+
+def own_folder(s: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{(s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE context = 'content' AND starts_with(word_lc, 'th')")
+def io_index(s: SparkSession, d: str) -> DataFrame:
+    """An index that was written and is read again, of which a prefix reads one context's row groups."""
+    at = own_folder(s, "index")
+    write_index(post(s, d), doc_table(s, d), at)
+    return flat(read_index(s, at)[0].where("context = 'content' and startswith(word_lc, 'th')"))
+
+
+@query("SELECT doc_id, lang, source FROM documents")
+def io_xml(s: SparkSession, d: str) -> DataFrame:
+    at = own_folder(s, "xml")
+    write_xml(docs(s, d).select("doc_id", "lang", "source"), at, "docs", "doc")
+    return read_xml(s, at, "doc", "doc_id long, lang string, source string")
+
+
+@query("SELECT url AS href FROM pages")
+def io_sitemap(s: SparkSession, d: str) -> DataFrame:
+    at = own_folder(s, "sitemap")
+    write_sitemap(pages(s, d).select("url", F.lit("page").alias("title")), at)
+    return read_xml(s, at, "url", "_href string, _title string").select(F.col("_href").alias("href"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def io_json(s: SparkSession, d: str) -> DataFrame:
+    """Records that were written as JSON lines, with those parts that are read."""
+    at = own_folder(s, "json")
+    docs(s, d).select("doc_id", "lang", "source").write.json(at)
+    return s.read.schema("doc_id long, lang string").json(at)
+
+
+@query("SELECT count(*) AS files, true AS sized FROM (SELECT DISTINCT lang FROM documents)")
+def io_files(s: SparkSession, d: str) -> DataFrame:
+    """Files under a folder with their sizes: one folder for each language."""
+    at = own_folder(s, "files")
+    docs(s, d).select("lang", "source").distinct().repartition(1, "lang").write.partitionBy("lang").json(at)
+    return files(s, at, "*.json").agg(F.count("*").alias("files"), F.min((F.col("n_bytes") > 0) & F.col("modified").isNotNull() & (F.octet_length("text") == F.col("n_bytes"))).alias("sized"))
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(range(4), lambda k: array_to_string(w[len(w) * k // 4 + 1:len(w) * (k + 1) // 4], ' ')), '|') AS parts FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 4
+UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) < 4""")
+def fn_chunks_by_count(s: SparkSession, d: str) -> DataFrame:
+    w = docs(s, d).select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
+    return w.select("doc_id", F.array_join(F.transform(X.chunks_by_count(F.col("w"), 4), lambda c: F.array_join(c, " ")), "|").alias("parts"))
+
+
+@query(r"SELECT doc_id, regexp_replace(t, '^\s+', '') AS l, regexp_replace(t, '\s+$', '') AS r, regexp_replace(t, '^\s+|\s+$', '', 'g') AS b, regexp_replace(source, '^[src]+|[src]+$', '', 'g') AS w FROM (SELECT doc_id, source, '  ' || lang || ' ' AS t FROM documents)")
+def fn_strip(s: SparkSession, d: str) -> DataFrame:
+    t = docs(s, d).select("doc_id", "source", F.concat(F.lit("  "), "lang", F.lit(" ")).alias("t"))
+    c = F.col("t")
+    return t.select("doc_id", X.stripped(c, right=False).alias("l"), X.stripped(c, left=False).alias("r"), X.stripped(c).alias("b"), X.stripped(F.col("source"), of="[src]").alias("w"))
+
+
+@query(r"SELECT page_id, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '[\p{L}\p{N}\s]') THEN c ELSE '%' || lower(to_hex(unicode(c))) END), '') AS name, url_decode(replace(url || '+%C3%A4', '+', '%2B')) AS plain FROM pages")
+def fn_escape(s: SparkSession, d: str) -> DataFrame:
+    """A URL as the name of a file, and percent escapes undone."""
+    u = F.col("url")
+    return pages(s, d).select("page_id", X.escaped(u).alias("name"), X.url_decoded(F.concat(u, F.lit("+%C3%A4"))).alias("plain"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS page, page_id % 3 = 1 AS pdf FROM pages")
+def fn_mime(s: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("text/html"), F.lit("application/pdf"), F.lit("image/png")), (F.col("page_id") % 3 + 1).cast("int"))
+    return pages(s, d).select("page_id", kind.isin(*X.PAGE_TYPES).alias("page"), kind.isin(*X.PDF_TYPES).alias("pdf"))
+
+
+@query(f"WITH {POST} SELECT doc_id, context, word, CAST(len(positions) AS INT) AS n, list_contains(positions, 3) AS third, array_to_string(list_sort(list_distinct(list_concat(positions, [0, 3]))), ',') AS more, CAST(list_sum(positions) AS BIGINT) AS total FROM postings WHERE starts_with(word_lc, 'th')")
+def fn_positions(s: SparkSession, d: str) -> DataFrame:
+    """Sets of positions: size, membership, union and a fold."""
+    p = F.col("positions")
+    return th(s, d).select("doc_id", "context", "word", F.size(p).alias("n"), F.array_contains(p, 3).alias("third"), F.array_join(F.array_sort(F.array_union(p, F.array(F.lit(0), F.lit(3)))), ",").alias("more"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT url AS src, unnest(regexp_extract_all(html, '<(?:img|input|link|script|applet)\\s[^>]*?(?:src|href|code)=\"([^\"]*)\"', 1)) AS dst FROM pages")
+def graph_references(s: SparkSession, d: str) -> DataFrame:
+    """What pages load, beside what they link to."""
+    return pages(s, d).select(F.col("url").alias("src"), F.explode(X.references(F.col("html"))).alias("dst"))
+
+
+ASKED = ("x.html", "/top?a=b", "//h.org/a", "?q=1", "#f", "http://z.de/y", "./s/../t/", "../../../../../u")
+
+
+@query("""WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS top, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, string_split(url, '#')[1] AS bare FROM pages),
+f AS (SELECT *, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END AS folder FROM u)
+SELECT url, 'x.html' AS link, top || folder || 'x.html' AS resolved FROM f UNION ALL SELECT url, '/top?a=b', top || '/top?a=b' FROM f UNION ALL SELECT url, '//h.org/a', regexp_extract(url, '^(https?:)', 1) || '//h.org/a' FROM f
+UNION ALL SELECT url, '?q=1', top || path || '?q=1' FROM f UNION ALL SELECT url, '#f', bare FROM f UNION ALL SELECT url, 'http://z.de/y', 'http://z.de/y' FROM f UNION ALL SELECT url, './s/../t/', top || folder || 't/' FROM f UNION ALL SELECT url, '../../../../../u', top || '/u' FROM f""")
+def graph_resolved(s: SparkSession, d: str) -> DataFrame:
+    """Links of every form against the pages they stand on."""
+    u = pages(s, d).select("url").distinct().select("url", F.explode(F.array(*map(F.lit, ASKED))).alias("link"))
+    return u.select("url", "link", G.resolved(F.col("url"), F.col("link")).alias("resolved"))
+
+
+@query("""WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host FROM pages) SELECT host, seq, prefix, action FROM h, LATERAL (SELECT 0 AS seq, '/' || host AS prefix, 'disallow' AS action UNION ALL SELECT 1, '/en/', 'allow' UNION ALL SELECT 2, '', 'disallow')""")
+def graph_robots_files(s: SparkSession, d: str) -> DataFrame:
+    """Rules out of robots.txt files: comments, other agents' blocks and other directives left out."""
+    text = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /"), "host", F.lit("  # ours\nCrawl-delay: 3\nAllow: /en/\nDisallow:\n\nUser-agent: last\nDisallow: /x\n"))
+    hosts = pages(s, d).select(F.regexp_extract("url", r"^https?://([^/?#:]*)", 1).alias("host")).distinct()
+    return G.robots_table(hosts.select("host", text.alias("text")), "quarry")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '-14-30' AS norm FROM orders")
+def date_extracted(s: SparkSession, d: str) -> DataFrame:
+    """Dates with weekday, month name and time out of free text."""
+    months = F.array(*[F.lit(m.capitalize()) for m in D.MONTHS])
+    text = F.concat(F.lit("Treffen am Freitag, den "), F.date_format("o_orderdate", "d"), F.lit(". "), F.element_at(months, F.month("o_orderdate")), F.lit(" "), F.date_format("o_orderdate", "yyyy"), F.lit(" um 14:30 Uhr im Haus 3"))
+    each = table(s, d, "orders").select("o_orderkey", F.explode(D.extracted(text)).alias("x"))
+    return each.select("o_orderkey", "x.norm")
+
+
+@query("SELECT l_returnflag AS key, CAST(max(l_partkey) AS BIGINT) AS value FROM lineitem GROUP BY l_returnflag HAVING max(l_partkey) > 10")
+def mr_job(s: SparkSession, d: str) -> DataFrame:
+    """A job that JSON describes."""
+    return M.job(table(s, d, "lineitem"), '{"key": "l_returnflag", "value": "l_partkey", "reduce": "max(value)", "keep": "value > 10", "splits": 4, "reducers": 2}')
+
+
+@query(SQL["q_but"])
+def q_sent(s: SparkSession, d: str) -> DataFrame:
+    """A query that was sent as JSON."""
+    return flat(Evaluator(post(s, d))(language.load(language.dump(language.parse("th AND NOT de")))))
+
+
+@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE context = 'content' AND word = 'The' AND NOT {in_langs('es')}")
+def stream_removed(s: SparkSession, d: str) -> DataFrame:
+    """The streamed index while some documents are taken out."""
+    from quarry.streaming import incremental
+
+    base = own_folder(s, "stream")
+    incremental.run(s, f"{d}/documents.parquet*", docs(s, d).schema, base, f"{base}/checkpoint").awaitTermination()
+    left = incremental.current(s, base, docs(s, d).where("lang = 'es'"))
+    return flat(left.where("context = 'content' and word = 'The'"))
