@@ -34,6 +34,8 @@ from quarry.llm.tokens import default_vocabulary, fast_encoder
 
 LENGTH, END, PAD, KEY = 2048, 50256, 50256, 0x9E3779B97F4A7C15
 ROUNDS = 4
+#: Neighbouring sequences that are kept compressed together until they are dealt out.
+TOGETHER = 64
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -66,24 +68,24 @@ def permuted(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> n
 
 
 def sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end: int = END, pad: int = PAD) -> DataFrame:
-    """(task, k, n_tokens, first_doc, first_start, z): z holds `length` ids, compressed."""
+    """(task, k, z, n_tokens, first_doc, first_start): z holds the ids of sequences k, k + 1, ..., as many as the arrays
+    have entries, compressed together."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pack = fast_encoder(path), zstandard.ZstdCompressor(level=1).compress
+        bpe, pack = fast_encoder(path), zstandard.ZstdCompressor(level=3).compress
         width = "<u2" if len(bpe.bytes) <= 1 << 16 else "<u4"
         task, k = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
+        made: list[tuple[np.ndarray, int, tuple]] = []  # ids, how many aren't padding, where the first comes from
         n, at = 0, (None, 0)  # tokens held, and where the first of them comes from
 
-        def row(ids: np.ndarray, first: tuple) -> tuple:
-            return task, k, len(ids), first[0], first[1], pack(np.pad(ids, (0, length - len(ids)), constant_values=pad).astype(width).tobytes())
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        def batch() -> pa.RecordBatch:
+            z = pack(np.concatenate([m[0] for m in made]).astype(width).tobytes())
+            columns = [[task], [k], [z], [[m[1] for m in made]], [[m[2][0] for m in made]], [[m[2][1] for m in made]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for b in slices(batches, 256):
-            rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 ids = np.append(bpe.encode(text), np.uint32(end))
                 if not n:
@@ -94,38 +96,54 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
                     all_ids = np.concatenate(held)
                     before = n - len(ids)
                     for s in range(0, n - length + 1, length):
-                        rows.append(row(all_ids[s : s + length], at))
-                        k += 1
+                        made.append((all_ids[s : s + length], length, at))
                         at = (doc_id, s + length - before)
+                        if len(made) == TOGETHER:
+                            yield batch()
+                            k, made = k + len(made), []
                     held, n = [all_ids[n - n % length :]], n % length
-            if rows:
-                yield batch(rows)
         if n:
-            yield batch([row(np.concatenate(held), at)])
+            made.append((np.pad(np.concatenate(held), (0, length - n), constant_values=pad), n, at))
+        if made:
+            yield batch()
+
+    names = ["task", "k", "z", "n_tokens", "first_doc", "first_start"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "task long, k long, z binary, n_tokens array<long>, first_doc array<long>, first_start array<long>")
 
-    names = ["task", "k", "n_tokens", "first_doc", "first_start", "z"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "task long, k long, n_tokens long, first_doc long, first_start long, z binary")
 
+def shard_size(n: int, least: int = 4096, most_shards: int = 20_000) -> int:
+    """Sequences of a shard: at least `least`, and more where there would be over `most_shards` shards to shuffle to."""
+    return max(least, -(-n // most_shards))
 
-def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, key: int = KEY, per_shard: int = 4096, to: str | None = None) -> DataFrame:
-    """Writes the shards and returns a row per sequence: slot, shard, byte_offset, n_tokens, first_doc, first_start, crc32."""
+
+def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, key: int = KEY, per_shard: int | None = None, to: str | None = None) -> DataFrame:
+    """Writes the shards and returns a row per sequence: slot, shard, byte_offset, n_tokens, first_doc, first_start, crc32.
+
+    per_shard: sequences of a shard, shard_size() of their number if None. Each range of slots is one shuffle partition.
+    """
     spark = docs.sparkSession
     made = stored(sequences(docs, vocabulary, length), "sequences")
-    counts = sorted((r[0], r[1]) for r in made.groupBy("task").count().collect())  # a row per task
+    counts = sorted((r[0], r[1]) for r in made.groupBy("task").agg(F.sum(F.size("n_tokens"))).collect())  # a row per task
     base, n = {}, 0
     for task, c in counts:
         base[task] = n
         n += c
+    per_shard = per_shard or shard_size(n)
     to = to or f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}"
     local = to.removeprefix("file://") if to.startswith(("file:/", "/")) else None
     local = local.removeprefix("file:") if local else None
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            index = np.array([base[t] for t in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
-            slot = permuted(index, n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *b.columns[2:]], ["slot", "shard", *b.schema.names[2:]])
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        for b in slices(batches, 4):
+            for task, k, z, *told in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                slot = permuted(base[task] + k + np.arange(len(told[0])), n, key)
+                raw = unpack(z)
+                stride = len(raw) // len(slot)
+                each = [pack(raw[a : a + stride]) for a in range(0, len(raw), stride)]
+                columns = [pa.array(slot), pa.array(slot // per_shard), *(pa.array(c, pa.int64()) for c in told), pa.array(each, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "n_tokens", "first_doc", "first_start", "z"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, out, shard, temporary = zstandard.ZstdDecompressor().decompress, None, None, ""
@@ -156,7 +174,7 @@ def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LE
     kinds = [*[pa.int64()] * 7, pa.binary()]
     placed = mapped(made, place, "slot long, shard long, n_tokens long, first_doc long, first_start long, z binary")
     shards = max(1, -(-n // per_shard))
-    dealt = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
     rows = mapped(dealt, write, "slot long, shard long, byte_offset long, n_tokens long, first_doc long, first_start long, crc32 long, ids binary")
     rows = stored(rows, "index")  # the shards are written once, here
     return rows.drop("ids").withColumn("folder", F.lit(to)) if local else rows.drop("ids").withColumn("folder", F.lit(None).cast("string"))
