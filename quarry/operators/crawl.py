@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import frontier, stored
@@ -19,6 +19,11 @@ def usable(fetched: DataFrame) -> DataFrame:
     return fetched.where("status = 200")
 
 
+def stale(cache: DataFrame, now: Column, days: int) -> DataFrame:
+    """What a refresh fetches again: cached rows (uri, fetched) that are older than their validity, or were never fetched."""
+    return cache.where(F.col("fetched").isNull() | (F.col("fetched") < now - F.expr(f"INTERVAL {int(days)} DAYS")))
+
+
 def crawl(starts: DataFrame, links: Callable[[DataFrame], DataFrame], max_level: int, max_docs: int = -1, per_round: int | None = None) -> DataFrame:
     """(uri, level): start URIs and what links from them lead to, within max_level clicks; -1 documents: no limit.
 

@@ -1029,3 +1029,10 @@ def stream_removed(s: SparkSession, d: str) -> DataFrame:
     incremental.run(s, f"{d}/documents.parquet*", docs(s, d).schema, base, f"{base}/checkpoint").awaitTermination()
     left = incremental.current(s, base, docs(s, d).where("lang = 'es'"))
     return flat(left.where("context = 'content' and word = 'The'"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS uri FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderkey % 7 = 0")
+def crawl_stale(s: SparkSession, d: str) -> DataFrame:
+    """Cached pages whose validity of a year is over, or that were never fetched."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("uri"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("fetched"))
+    return C.stale(o, F.lit("1998-01-01 00:00:00").cast("timestamp"), 365).select("uri")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
 from quarry.functions import text as X
+from quarry.operators import crawl as C
 from quarry.operators import graph as G
 from quarry.operators import index as I
 from quarry.operators import mapreduce as M
@@ -112,3 +113,15 @@ def test_limits_reach_few_words(spark):
     assert sorted(r.word for r in limited(p, 0, 7).collect()) == [f"w{k:05d}" for k in range(7)]
     plan = limited(p, 0, 7)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_crawl(spark):
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("d", "e"), ("x", "y")], "src string, uri string")
+    links = lambda batch: e.join(batch.select(F.col("uri").alias("src")), "src")
+    start = spark.createDataFrame([("a",), ("a",)], "uri string")
+    levels = lambda *a, **k: {r.uri: r.level for r in C.crawl(start, links, *a, **k).collect()}
+    assert levels(9) == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
+    assert levels(1) == {"a": 0, "b": 1, "c": 1} and levels(0) == {"a": 0}
+    assert set(levels(9, per_round=1)) == set("abcde")
+    assert levels(9, max_docs=3) == {"a": 0, "b": 1, "c": 1}
+    assert C.crawl(start.where("false"), links, 3).count() == 0
