@@ -39,15 +39,31 @@ PAGES = (
 )
 
 
+def spread(docs: DataFrame, bytes_a_core: int = 16 << 20) -> DataFrame:
+    """Dealt out to all cores if the planner knows that it is small: such inputs are often a single row group, and so one task.
+
+    What is moved is at most bytes_a_core a core; larger inputs, and those of unknown size, stay as they are read.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size <= cores * bytes_a_core else docs
+
+
 def tokens(docs: DataFrame, contexts: tuple[Context, ...] = DOCUMENTS, key: str = "doc_id") -> DataFrame:
     """(context, word, doc_id, pos): positions from 1, given before dull words go. All contexts in one scan."""
+    docs = spread(docs)
     parts = F.array(*[F.struct(F.lit(c.name).alias("context"), c.split(c.source()).alias("words")) for c in contexts])
     each = docs.select(F.col(key).alias("doc_id"), F.explode(parts).alias("part")).select("doc_id", "part.context", F.posexplode("part.words").alias("pos", "word"))
-    keep = F.lit(True)
+    return each.where(kept(contexts)).select("context", "word", "doc_id", (F.col("pos") + 1).alias("pos"))
+
+
+def kept(contexts: tuple[Context, ...]) -> Column:
+    """Whether a word is none of those that its context leaves out; null is no word."""
+    keep = F.col("word").isNotNull()
     for c in contexts:
         if c.dull:
             keep = keep & ((F.col("context") != c.name) | ~c.dull(F.col("word")))
-    return each.where(keep).select("context", "word", "doc_id", (F.col("pos") + 1).alias("pos"))
+    return keep
 
 
 def with_lower(postings: DataFrame) -> DataFrame:
@@ -59,9 +75,26 @@ def grouped(tokens: DataFrame) -> DataFrame:
     return with_lower(tokens.groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias("positions")))
 
 
-def build(docs: DataFrame, contexts: tuple[Context, ...] = DOCUMENTS, key: str = "doc_id") -> DataFrame:
-    """Postings of whole documents, all contexts in one scan and one shuffle, positions combined before it."""
-    return grouped(tokens(docs, contexts, key))
+def build(docs: DataFrame, contexts: tuple[Context, ...] = DOCUMENTS, key: str = "doc_id", unique: bool = True) -> DataFrame:
+    """Postings of whole documents, all contexts in one scan.
+
+    A row's words are sorted and grouped within the row, in time n log n, so where `key` is the documents' key nothing is
+    shuffled. With unique=False rows that share a key are merged.
+    """
+    docs = spread(docs)
+
+    def entries(c: Context) -> Column:
+        return F.sort_array(F.transform(c.split(c.source()), lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos"))))
+
+    parts = F.array(*[F.struct(F.lit(c.name).alias("context"), entries(c).alias("entries")) for c in contexts])
+    rows = docs.select(F.col(key).alias("doc_id"), F.explode(parts).alias("part")).select("doc_id", "part.context", "part.entries").where("size(entries) > 0")
+    word = lambda i: F.get("entries", i)["word"]
+    begins = F.filter(F.sequence(F.lit(0), F.size("entries") - 1), lambda i: (i == 0) | ~word(i).eqNullSafe(word(i - 1)))
+    rows = rows.select("doc_id", "context", "entries", begins.alias("begins"))
+    positions = lambda b, k: F.transform(F.slice("entries", b + 1, F.coalesce(F.get("begins", k + 1), F.size("entries")) - b), lambda x: x["pos"])
+    each = F.transform("begins", lambda b, k: F.struct(word(b).alias("word"), positions(b, k).alias("positions")))
+    found = rows.select("doc_id", "context", F.inline(each)).where(kept(contexts)).select("context", "word", "doc_id", "positions")
+    return with_lower(found) if unique else merge(found)
 
 
 def merge(*postings: DataFrame) -> DataFrame:

@@ -63,6 +63,18 @@ def test_limits(spark):
     assert words(Evaluator(p, QueryConfig(word_limit=1))("a")) == ["abc"]
 
 
+def test_build_needs_no_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "b a b", "en", "s"), (2, None, None, None), (3, "", "de", "s"), (4, "1 - a", "de", "t")], "doc_id long, text string, lang string, source string")
+    assert rows(I.build(docs)) == rows(I.grouped(I.tokens(docs)))
+    assert "Exchange" not in I.build(docs)._jdf.queryExecution().executedPlan().toString()
+    twice = docs.unionByName(spark.createDataFrame([(1, "a c", "en", "s")], docs.schema))
+    assert rows(I.build(twice, unique=False)) == rows(I.grouped(I.tokens(twice)))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")  # small, and read as one task: dealt out to all cores
+    small = I.spread(spark.read.parquet(f"{tmp_path}/one"))
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows(I.build(small)) == rows(I.build(docs))
+    assert I.spread(spark.read.parquet(f"{tmp_path}/one"), bytes_a_core=0).rdd.getNumPartitions() == 1
+
+
 def test_merge_and_subtract_laws(sample):
     left, right = sample.where("doc_id < 3"), sample.where("doc_id > 1")
     assert rows(I.merge(left, right)) == rows(sample)
