@@ -6,6 +6,9 @@ linked once their distance has been verified. A variant has at most 65 distinct
 however many copies there are: copies share a fingerprint, which is counted before anything is shuffled on it. Neighbours
 in order link a whole meeting without its pairs, since all that meet in half the radius are within the radius.
 
+near_copies() is what the pipeline uses: Jaccard of 0.8 or more of 5-word shingles. Texts that alike differ in some 10 of 64
+bits, which no ball reaches that is small enough to emit, so its candidates are texts with a MinHash band in common.
+
 Cases: a null or blank text has fingerprint 0 and links as any other. One or two words are one shingle. Null ids keep
 their row; they give no component id, which is null where no member has one. Repeated rows keep their rows. Other columns
 are not read. An empty table gives no rows.
@@ -92,3 +95,105 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
     hot = out.where("is_hot").select("doc_id", "fp", F.col("hot").alias("component_id"))
     rest = out.where("is_hot is null").select("doc_id", "fp").join(members.where(F.col("n") <= total // HEAVY).select("fp", "component_id"), "fp")
     return hot.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: MinHash bands of near_copies: BANDS keys, each of ROWS minima. A pair of Jaccard 0.8 shares none with a chance of 0.0006.
+BANDS, ROWS = 40, 8
+FACTORS = np.random.default_rng(42).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * 2 + 1
+
+
+def shingles(text: str, words: int = 5) -> set[bytes]:
+    """Word shingles; a text of fewer words is one, a blank text has none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    k = min(words, len(found))
+    return {b" ".join(found[i : i + k]) for i in range(len(found) - k + 1)} if found else set()
+
+
+def signature(text: str, words: int = 5) -> tuple[int, int, list[int]]:
+    """A hash of the set of shingles, its size, and a key per band (none of a blank text), hashes as signed longs."""
+    each = shingles(text, words)
+    if not each:
+        return 0, 0, []
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+    hashes.sort()
+    low = hashes.astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 512):
+        np.minimum(least, np.multiply.outer(FACTORS, low[at : at + 512]).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+    return *np.array([xxhash.xxh64_intdigest(hashes.tobytes()), len(each)], np.uint64).view(np.int64).tolist(), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, text_hash, same, size, keys): `same` is equal where the sets of shingles are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            found = [signature(t, words) for t in texts_of(b.column(2))]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "text_hash", "same", "size", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return mapped(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, same long, size long, keys array<long>")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """The (src, dst) of `pairs` whose texts, by `same`, have a Jaccard similarity of `least` or more; exact, on the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, set()
+        for b in slices(batches, 1024):
+            keep = []
+            for src, x, y in zip(b.column(0).to_pylist(), texts_of(b.column(2)), texts_of(b.column(3)), strict=True):
+                if src != last:
+                    last, one = src, shingles(x, words)
+                other = shingles(y, words)
+                both = len(one & other)
+                keep.append(both + 1e-9 >= least * (len(one) + len(other) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("same").alias("dst"), F.col("text").alias("y")), "dst").join(texts.select(F.col("same").alias("src"), F.col("text").alias("x")), "src")
+    return mapped(both.select("src", "dst", "x", "y"), run, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id, text_hash, component_id (the smallest doc_id that links reach), linked by Jaccard of word shingles.
+
+    Texts of one set of shingles are one node. Nodes that share a band are candidates and verified exactly. First every
+    node is held against one other of its bands, twice, so that large groups of copies join without their pairs; then all
+    pairs of a band that are in different components yet. Null and blank texts are copies of each other; null ids link but
+    give no component id.
+    """
+    prints = stored(signatures(docs, words), "signatures")
+    member = F.struct("doc_id", "text_hash")
+    chosen = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), member)), F.min(member))
+    nodes = stored(prints.groupBy("same").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), chosen.alias("chosen"), F.min("doc_id").alias("least")), "nodes")
+    entries = nodes.select("same", "size", F.explode("keys").alias("key"))
+    met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    live = stored(entries.join(met, "key"), "bands")
+    at = live.select("same").distinct().join(nodes.select("same", "chosen"), "same").select("same", F.col("chosen.doc_id").alias("id"), F.col("chosen.text_hash").alias("hash"))
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    found = text.join(at.withColumnRenamed("hash", "h"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
+    texts = stored(found.select("same", "text").dropDuplicates(["same"]), "texts")
+    edges = None
+    fits = F.least("size", "other.size") + 1e-9 >= least * F.greatest("size", "other.size")
+    for last in (False, False, True):
+        if edges is None:
+            now = live.withColumn("root", F.col("same"))
+        else:
+            now = live.join(components(edges).withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+        now = stored(now, "rooted")
+        ends = now.groupBy("key").agg(*(f(F.struct("root", "same", "size")).alias(n) for f, n in ((F.min, "low"), (F.max, "high")))).where("low.root <> high.root")
+        if last:
+            other = now.select("key", F.struct("root", "same", "size").alias("other"))
+            met = now.join(ends.select("key"), "key").join(other, "key").where("root < other.root").where(fits)
+            pairs = met.select(F.col("same").alias("src"), F.col("other.same").alias("dst")).distinct()
+        else:
+            met = now.join(ends, "key").withColumn("other", F.when(F.col("low.root") != F.col("root"), F.col("low")).otherwise(F.col("high"))).where(fits)
+            pairs = met.groupBy(F.col("same").alias("src")).agg(F.min("other.same").alias("dst"))
+        more = stored(alike(stored(pairs, "pairs"), texts, least, words), "alike")
+        edges = more if edges is None else edges.union(more)
+    roots = components(edges)
+    rooted = nodes.select("same", "least").join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    members = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")
+    return prints.select("doc_id", "text_hash", "same").join(stored(members, "copies"), "same").select("doc_id", "text_hash", "component_id")

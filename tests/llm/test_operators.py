@@ -208,6 +208,33 @@ def test_links_find_every_close_pair(spark):
         assert {roots.get(x, x) for x in g} == {min(g)}
 
 
+def test_near_copies_of_five_words(spark):
+    """Edited copies against brute force: what 5-word shingles of Jaccard 0.8 or more link, and nothing else."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((10 * k, " ".join(words)))
+        for j, edits in enumerate((1, 4, 6, 7, 8, 12), 1):
+            other = list(words)
+            for at in rng.choice(300, edits, replace=False):
+                other[at] = f"x{rng.integers(0, 5000)}"
+            rows.append((10 * k + j, " ".join(other)))
+    rows += [(1001, ""), (1002, None), (1003, "Few words"), (1004, "few  words"), (None, rows[0][1])]
+    sets = {i: simhash.shingles(t or "") for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+    pairs = 0
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs += 1
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    assert pairs > 100 and len(set(root.values())) > 42
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == root | {None: 0}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 340)] + [(5, None), (6, 6)]

@@ -51,6 +51,12 @@ def test_stages(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_stage_drops_edited_copies(spark):
+    """Near copies of 5-word Jaccard 0.8 that differ in more than two bits of the operator's fingerprint."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (2383, 9234, 3612, 3818, 7743, 9710)")
+    assert sorted(r.doc_id for r in P.near_copies(spark, docs, SF).collect()) == [2383, 3612, 7743]
+
+
 @pytest.mark.parametrize("name", ["op6_urls", "op8_quotes"])
 def test_oracle(spark, name):
     import duckdb
