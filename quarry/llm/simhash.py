@@ -157,7 +157,7 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataF
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """doc_id, text_hash, component_id (the smallest doc_id that links reach), linked by Jaccard of word shingles.
+    """doc_id, text_hash, component_id (the smallest doc_id that links reach), root (differs by component), linked by Jaccard of word shingles.
 
     Texts of one set of shingles are one node. Nodes that share a band are candidates and verified exactly. First every
     node is held against one other of its bands, twice, so that large groups of copies join without their pairs; then all
@@ -195,5 +195,5 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFram
         edges = more if edges is None else edges.union(more)
     roots = components(edges)
     rooted = nodes.select("same", "least").join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    members = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")
-    return prints.select("doc_id", "text_hash", "same").join(stored(members, "copies"), "same").select("doc_id", "text_hash", "component_id")
+    members = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id", "root")
+    return prints.select("doc_id", "text_hash", "same").join(stored(members, "copies"), "same").select("doc_id", "text_hash", "component_id", "root")

@@ -57,6 +57,13 @@ def test_stage_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in P.near_copies(spark, docs, SF).collect()) == [2383, 3612, 7743]
 
 
+def test_stage_keeps_other_texts_of_an_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (4, c), (5, c), (5, d), (6, b), (7, a), (1, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in P.near_copies(spark, docs, SF).collect()) == [(1, a), (1, b), (4, c), (5, d)]
+
+
 @pytest.mark.parametrize("name", ["op6_urls", "op8_quotes"])
 def test_oracle(spark, name):
     import duckdb
