@@ -100,28 +100,47 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 #: MinHash bands of near_copies: BANDS keys, each of ROWS minima. A pair of Jaccard 0.8 shares none with a chance of 0.0006.
 BANDS, ROWS = 40, 8
 FACTORS = np.random.default_rng(42).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * 2 + 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
+ROW = 512
+PRODUCTS = np.empty((BANDS * ROWS, ROW), np.uint32)
 
 
-def shingles(text: str, words: int = 5) -> set[bytes]:
-    """Word shingles; a text of fewer words is one, a blank text has none."""
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """The set of a text's word shingles as sorted 64-bit hashes; a text of fewer words is one, a blank text has none."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     k = min(words, len(found))
-    return {b" ".join(found[i : i + k]) for i in range(len(found) - k + 1)} if found else set()
+    n = len(each) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = (out ^ each[i : i + n]) * MIX
+        out ^= out >> np.uint64(29)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    c = np.concatenate((a, b))
+    c.sort()
+    both = int((c[1:] == c[:-1]).sum())
+    return both / (len(c) - both) if len(c) else 1.0
 
 
 def signature(text: str, words: int = 5) -> tuple[int, int, list[int]]:
     """A hash of the set of shingles, its size, and a key per band (none of a blank text), hashes as signed longs."""
-    each = shingles(text, words)
-    if not each:
+    hashes = shingles(text, words)
+    if not len(hashes):
         return 0, 0, []
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
-    hashes.sort()
     low = hashes.astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 512):
-        np.minimum(least, np.multiply.outer(FACTORS, low[at : at + 512]).min(axis=1), out=least)
+    for at in range(0, len(low), ROW):
+        part = low[at : at + ROW]
+        np.minimum(least, np.multiply.outer(FACTORS, part, out=PRODUCTS[:, : len(part)]).min(axis=1), out=least)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-    return *np.array([xxhash.xxh64_intdigest(hashes.tobytes()), len(each)], np.uint64).view(np.int64).tolist(), np.array(keys, np.uint64).view(np.int64).tolist()
+    return *np.array([xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)], np.uint64).view(np.int64).tolist(), np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -137,32 +156,62 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return mapped(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, same long, size long, keys array<long>")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The (src, dst) of `pairs` whose texts, by `same`, have a Jaccard similarity of `least` or more; exact, on the shingles."""
+def sets(texts: DataFrame, words: int) -> DataFrame:
+    """(same, hashes) from (same, text): the set of shingles, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, set()
-        for b in slices(batches, 1024):
-            keep = []
-            for src, x, y in zip(b.column(0).to_pylist(), texts_of(b.column(2)), texts_of(b.column(3)), strict=True):
-                if src != last:
-                    last, one = src, shingles(x, words)
-                other = shingles(y, words)
-                both = len(one & other)
-                keep.append(both + 1e-9 >= least * (len(one) + len(other) - both))
+        for b in slices(batches, 256):
+            found = [shingles(t, words).tobytes() for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["same", "hashes"])
+
+    return mapped(texts.select("same", "text"), run, "same long, hashes binary")
+
+
+def alike(pairs: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
+    """(src, dst) from (x, y, src, dst): those whose sets x and y have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            each = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            keep = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) + 1e-9 >= least for x, y in each]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("same").alias("dst"), F.col("text").alias("y")), "dst").join(texts.select(F.col("same").alias("src"), F.col("text").alias("x")), "src")
-    return mapped(both.select("src", "dst", "x", "y"), run, "src long, dst long")
+    of = lambda name: hashed.select(F.col("same").alias(name), F.col("hashes").alias(f"set_{name}"))
+    both = pairs.join(of("y"), "y").join(of("x"), "x")
+    return mapped(both.select("src", "dst", "set_x", "set_y"), run, "src long, dst long").distinct()
+
+
+def prefixes(apart: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
+    """(h, at, same, root, size): the rarest shingles h of each node (same, root, size), of which nodes that are alike share one.
+
+    Shingles are ordered by how many of these nodes have them, then by hash; at is a shingle's place in that order. Two
+    sets of Jaccard `least` share a shingle among the first size - ceil(least * size) + 1 of each. What nodes have in
+    common only because many have it (a passage that a third of them quote) stands last and brings no pairs about.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            found = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], ["same", "h"])
+
+    held = mapped(hashed.join(apart.select("same"), "same").select("same", "hashes"), each, "same long, h long")
+    common = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    order = held.join(common, "h").groupBy("same").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))  # of one text
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1
+    alone = F.col("size") - F.size("shared")  # shingles that no other node has come first
+    rows = order.join(apart, "same").select("same", "root", "size", alone.alias("alone"), F.slice("shared", 1, F.greatest(first - alone, F.lit(0)).cast("int")).alias("few"))
+    return rows.select("same", "root", "size", "alone", F.posexplode("few").alias("k", "one")).select("one.h", (F.col("alone") + F.col("k")).alias("at"), "same", "root", "size")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, drawn: int = 12) -> DataFrame:
     """doc_id, text_hash, component_id (the smallest doc_id that links reach), root (differs by component), linked by Jaccard of word shingles.
 
-    Texts of one set of shingles are one node. Nodes that share a band are candidates and verified exactly. First every
-    node is held against one other of its bands, twice, so that large groups of copies join without their pairs; then all
-    pairs of a band that are in different components yet. Null and blank texts are copies of each other; null ids link but
-    give no component id.
+    Texts of one set of shingles are one node. Nodes that share a band are candidates and verified on all their shingles.
+    First every band draws two nodes by lot, and a node is held against up to `drawn` of those that its bands have drawn,
+    so that large groups of copies join without their pairs; a band whose nodes are in one component then is done. Nodes
+    of the other bands are joined exactly, by their rarest shingles. Null and blank texts are copies of each other; null
+    ids link but give no component id.
     """
     prints = stored(signatures(docs, words), "signatures")
     member = F.struct("doc_id", "text_hash")
@@ -171,29 +220,29 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFram
     entries = nodes.select("same", "size", F.explode("keys").alias("key"))
     met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = stored(entries.join(met, "key"), "bands")
-    at = live.select("same").distinct().join(nodes.select("same", "chosen"), "same").select("same", F.col("chosen.doc_id").alias("id"), F.col("chosen.text_hash").alias("hash"))
+    at = live.select("same").distinct().join(nodes.select("same", "chosen"), "same").select("same", F.col("chosen.doc_id").alias("id"), F.col("chosen.text_hash").alias("h"))
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    found = text.join(at.withColumnRenamed("hash", "h"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
-    texts = stored(found.select("same", "text").dropDuplicates(["same"]), "texts")
-    edges = None
+    found = text.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
+    hashed = stored(sets(found.dropDuplicates(["same"]), words), "sets")
     fits = F.least("size", "other.size") + 1e-9 >= least * F.greatest("size", "other.size")
-    for last in (False, False, True):
-        if edges is None:
-            now = live.withColumn("root", F.col("same"))
-        else:
-            now = live.join(components(edges).withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-        now = stored(now, "rooted")
-        ends = now.groupBy("key").agg(*(f(F.struct("root", "same", "size")).alias(n) for f, n in ((F.min, "low"), (F.max, "high")))).where("low.root <> high.root")
-        if last:
-            other = now.select("key", F.struct("root", "same", "size").alias("other"))
-            met = now.join(ends.select("key"), "key").join(other, "key").where("root < other.root").where(fits)
-            pairs = met.select(F.col("same").alias("src"), F.col("other.same").alias("dst")).distinct()
-        else:
-            met = now.join(ends, "key").withColumn("other", F.when(F.col("low.root") != F.col("root"), F.col("low")).otherwise(F.col("high"))).where(fits)
-            pairs = met.groupBy(F.col("same").alias("src")).agg(F.min("other.same").alias("dst"))
-        more = stored(alike(stored(pairs, "pairs"), texts, least, words), "alike")
-        edges = more if edges is None else edges.union(more)
-    roots = components(edges)
-    rooted = nodes.select("same", "least").join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    lot = lambda seed: F.struct(F.xxhash64("key", "same", F.lit(seed)).alias("lot"), "same", "size")
+    two = live.groupBy("key").agg(F.array(F.min(lot(1)), F.min(lot(2))).alias("two"))
+    met = live.join(two, "key").select("same", "size", F.explode("two").alias("other")).where("same <> other.same").where(fits)
+    some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("other.same").alias("lot"), F.col("other.same").alias("y")))), 1, drawn)  # of at most 2 * BANDS
+    pairs = met.groupBy(F.col("same").alias("x")).agg(some.alias("some")).select("x", F.inline("some")).select("x", "y", F.col("x").alias("src"), F.col("y").alias("dst"))
+    links = stored(alike(pairs, hashed, least), "alike")
+    roots = stored(components(links), "roots")
+    now = live.join(roots, live.same == roots.node, "left").select("key", "same", "size", F.coalesce("root", "same").alias("root"))
+    now = stored(now, "rooted")
+    ends = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    apart = stored(now.join(ends, "key").select("same", "root", "size").distinct(), "apart")
+    first = stored(prefixes(apart, hashed, least), "prefixes")
+    other = first.select("h", F.struct("at", "same", "root", "size").alias("other"))
+    rest = F.least(F.col("size") - F.col("at"), F.col("other.size") - F.col("other.at"))  # what may be common from here on
+    enough = rest + 1e-6 >= least / (1 + least) * (F.col("size") + F.col("other.size"))
+    pairs = first.join(other, "h").where("root < other.root").where(fits & enough).select(F.col("same").alias("x"), F.col("other.same").alias("y"), F.col("root").alias("src"), F.col("other.root").alias("dst")).distinct()
+    tops = components(stored(alike(pairs, hashed, least), "alike")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    belongs = now.select("same", "root").distinct().join(tops, "root", "left").select("same", F.coalesce("top", "root").alias("root"))
+    rooted = nodes.select("same", "least").join(belongs, "same", "left").withColumn("root", F.coalesce("root", "same"))
     members = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id", "root")
     return prints.select("doc_id", "text_hash", "same").join(stored(members, "copies"), "same").select("doc_id", "text_hash", "component_id", "root")

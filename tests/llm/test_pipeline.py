@@ -4,29 +4,37 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quarry.llm import packing, pii, queries, simhash, toxicity
+from quarry.llm import packing, pii, queries, toxicity
 from quarry.llm.tokens import FastBpe, default_vocabulary
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_run_is_brute_force(spark):
+    """Near copies by the rule of stages: five words, all pairs, a Jaccard similarity of 0.8 or more."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scorer = toxicity.Scorer(toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     kept = {r.doc_id: r.text for r in docs.collect() if scorer.score(r.text or "") < 0.5}
-    prints = {i: simhash.fingerprint(t or "") for i, t in kept.items()}
     ids = sorted(kept)
+
+    def fives(t):
+        w = [x for x in re.split("[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: fives(kept[i]) for i in ids}
     root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
     for a in ids:
         for b in ids:
-            if b < a and (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = a, b
-                while root[x] != x:
-                    x = root[x]
-                while root[y] != y:
-                    y = root[y]
+            if b < a and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
+                x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
-    one = {i: pii.masked(kept[i]) for i in ids if root[i] == i}
+    one = {i: pii.masked(kept[i] or "") for i in ids if root[i] == i}
     bpe = FastBpe(default_vocabulary())
     out = P.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
     assert {r.doc_id: (r.n, r.all) for r in out} == {i: (len(bpe.encode(t)) + 1,) * 2 for i, t in one.items()}
