@@ -2,7 +2,7 @@
 
 Fitting (driver, bounded sample): at most `sample` labelled rows of each class, chosen by a hash of the id, of texts up to
 `sample_chars`; rows whose crc32(id) mod 5 is 0 are never among them. The lexicon is learned: word beginnings that toxic
-texts hold and clean ones don't, counted once per group of copies (by smallest word hash), cut where they branch: a stem
+texts hold and clean ones don't, counted once per group of near copies (Jaccard of words), cut where they branch: a stem
 matches any word it begins, a whole word only itself. The Levenshtein automaton of every term runs on the trie at once;
 the product is made deterministic state by state as words need it, so a word costs a table look-up per character and
 dies where no term is near. Each term's misspellings weigh what the sample says of them.
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import mapped, slices, texts_of
 
 STRIP = "\"'“”„‘’«»()[]{}<>.,;:!?…*_~-–—/\\|"
-OPEN, CLOSE = "\"“„«‘", "\"”“»’"
+#: Opening marks, and what closes each.
+MARKS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+CLOSE = frozenset("".join(MARKS.values()))
+PARAGRAPH = re.compile(r"\n\s*\n")
 REPORTS = frozenset("said says say wrote writes called calls quote quotes quoted quoting reported reports term word words slur insult insults phrase sagte schrieb nannte zitat wort dit écrit appelé mot citation dijo escribió llamó palabra cita".split())
 ADDRESS = frozenset("you your you're u ur yourself du dich dir dein deine ihr euch tu te toi vous votre ton usted eres tú ti tus su".split())
-WINDOW, FAR_QUOTE = 6, 40
+WINDOW = 6
 MEMO = 300_000
 
 
@@ -168,13 +171,15 @@ class Scorer:
         words = text.lower().split()
         exact = fuzzy = quoted = 0.0
         found = self.found(words)
-        lines = None
+        lines = marks = None
         for i, e, term in found:
             w = self.model.fuzzy[term] if e else self.model.exact[term]
             if seen is not None:
                 seen.append((term, e))
             near = [x.strip(STRIP) for x in words[max(0, i - WINDOW) : i + WINDOW + 1]]
-            said = self._in_marks(words, i) or not REPORTS.isdisjoint(near[: min(i, WINDOW)])
+            if marks is None:
+                marks = in_marks(text)
+            said = bool(marks[i]) or not REPORTS.isdisjoint(near[: min(i, WINDOW)])
             if not said and ">" in text:
                 if lines is None:
                     lines = [line.lstrip().startswith(">") for line in text.lower().split("\n") for _ in line.split()]
@@ -187,24 +192,32 @@ class Scorer:
                 exact += w
         return exact, fuzzy, quoted
 
-    @staticmethod
-    def _in_marks(words: list[str], i: int) -> bool:
-        if words[i][0] in OPEN:
-            opened = True
-        else:
-            opened = False
-            for k in range(i - 1, max(-1, i - FAR_QUOTE), -1):
-                if words[k].rstrip(".,;:!?")[-1:] in CLOSE and len(words[k]) > 1:
-                    break
-                if words[k][0] in OPEN:
-                    opened = True
-                    break
-        return opened and any(words[k].rstrip(".,;:!?")[-1:] in CLOSE for k in range(i, min(len(words), i + FAR_QUOTE)))
-
     def score(self, text: str) -> float:
         return logistic(self.model.weights, self.sums(text))
 
 
+def in_marks(text: str) -> bytearray:
+    """For each word, whether it stands in quotation marks, in one pass: between a word that begins with an opening mark
+    and the next that ends with its closing mark, in the same paragraph, however far. Of several opened, the last counts."""
+    out = bytearray(len(text.split()))
+    if CLOSE.isdisjoint(text):
+        return out
+    first = 0
+    for paragraph in PARAGRAPH.split(text):
+        words = paragraph.split()
+        opened, closing = -1, ""
+        for i, w in enumerate(words, first):
+            if w[0] in MARKS and not (len(w) == 1 and w in closing):
+                opened, closing = i, MARKS[w[0]]
+                w = w[1:]
+            end = w.rstrip(".,;:!?")
+            if end and end[-1] in closing:
+                out[opened : i + 1] = b"\1" * (i + 1 - opened)
+                opened, closing = -1, ""
+        first += len(words)
+    return out
+
+
 def logistic(weights: list[float], sums: tuple[float, float, float]) -> float:
     z = weights[0] + sum(w * x for w, x in zip(weights[1:], bounded(sums), strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -229,14 +242,28 @@ def several(texts: Iterable[set[str]], enough: float, alike: float = 0.5) -> boo
     return False
 
 
+def copies(texts: list[set[str]], alike: float = 0.5, hashes: int = 32) -> list[set[str]]:
+    """The words of each group of near copies, and of each text without any. A text joins the first group whose first
+    text it is alike to, by Jaccard of words; only where their smallest word hashes agree often enough is that computed."""
+    factors = np.random.default_rng(3).integers(0, 1 << 31, hashes, np.uint32) * 2 + 1
+    groups, first, known = [], [], np.empty((len(texts), hashes), np.uint32)
+    for words in filter(None, texts):
+        least = np.multiply.outer(factors, np.array([zlib.crc32(w.encode()) for w in words], np.uint32)).min(axis=1)
+        likely = np.flatnonzero((known[: len(groups)] == least).mean(axis=1) >= 0.6 * alike)
+        near = next((g for g in likely.tolist() if len(words & first[g]) >= alike * len(words | first[g])), None)
+        if near is None:
+            known[len(groups)] = least
+            groups.append(set(words))
+            first.append(words)
+        else:
+            groups[near] |= words
+    return groups
+
+
 def learn(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 14) -> Model:
     """The model from (text, label) rows."""
     rows = [(t or "", int(y)) for t, y in rows]
-    groups: dict[int, dict[int, set[str]]] = {0: {}, 1: {}}
-    for text, y in rows:
-        words = set(WORD.findall(text.lower()))
-        if words:
-            groups[int(bool(y))].setdefault(min(zlib.crc32(w.encode()) for w in words), set()).update(words)
+    groups = {label: copies([set(WORD.findall(t.lower())) for t, y in rows if bool(y) == bool(label)]) for label in (0, 1)}
     n1, n0 = len(groups[1]), len(groups[0])
     if not n1 or not n0:
         return Model()
@@ -244,12 +271,12 @@ def learn(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 14) ->
     def starts(words: set[str]) -> set[str]:
         return {w[:k] for w in words for k in range(shortest, min(len(w), longest) + 1)} | {w + "$" for w in words if len(w) >= shortest}
 
-    toxic = Counter(p for words in groups[1].values() for p in starts(words))
+    toxic = Counter(p for words in groups[1] for p in starts(words))
     surprise = (math.log(len(toxic) + 1) + 3) / math.log((n1 + n0) / n1)
     least = max(surprise, 0.02 * n1, 4)
     kept = {p: c for p, c in toxic.items() if c >= least}
     clean: Counter = Counter()
-    for words in groups[0].values():
+    for words in groups[0]:
         clean.update(starts(words).intersection(kept))
     good = {p: c for p, c in kept.items() if clean[p] / n0 <= 0.02 * c / n1}
     chosen = [p for p in good if not p.endswith("$") and not any(p[:k] in good for k in range(shortest, len(p)))]
@@ -268,14 +295,14 @@ def learn(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 14) ->
                 break
             p = alike[0]
     terms += [(p[:-1], False) for p in good if p.endswith("$") and not any(p[:k] in good for k in range(shortest, len(p)))]
-    holding = lambda t, stem: (words for words in groups[1].values() if (any(w.startswith(t) for w in words) if stem else t in words))
+    holding = lambda t, stem: (words for words in groups[1] if (any(w.startswith(t) for w in words) if stem else t in words))
     terms = [(t, stem) for t, stem in sorted(set(terms)) if several(holding(t, stem), least)]
     model = Model(terms=[(t, stem, edits_for(t, stem)) for t, stem in terms])
     k = len(model.terms)
     model.exact, model.fuzzy = [1.0] * k, [1.0] * k
     scorer, counts = Scorer(model), np.zeros((2, 2, k))  # label, misspelled, term
     for y, one in groups.items():
-        for words in one.values():
+        for words in one:
             seen = {(x[1], x[0]) for w in words if (x := scorer.auto.match(w))}
             for term, e in seen:
                 counts[y, int(e > 0), term] += 1
