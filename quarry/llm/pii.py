@@ -2,8 +2,8 @@
 
 Patterns find emails, IP addresses, card numbers and phone numbers, each leftmost and without overlaps of its kind. Their
 spans always stay. What resembles personal data but fits no pattern (a number without its plus, an address with "at" for
-its sign, a lone user name) is a node of a conditional random field, as are the patterns' spans, which are evidence for
-their label. Neighbours share a chain potential; nodes with the same or similar letters and digits share a skip
+its sign, a lone user name, a long string of letters and digits that may be a secret) is a node of a conditional random
+field, as are the patterns' spans, which are evidence for their label. Neighbours share a chain potential; nodes with the same or similar letters and digits share a skip
 potential wherever they stand, each tied to the last one like it, so edges stay linear in the nodes. Loopy sum-product
 messages with damping give each node's marginals, and a node that is likelier one of the labels than none is a span too.
 So the entities of a document are labelled alike. Potentials are fitted here, by pseudo-likelihood on seeded synthetic
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import mapped, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: What a span may be: the patterns' kinds, and one that only the random field finds.
+LABELS = (*KINDS, "secret")
 ANY = re.compile(r"[0-9@]")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +38,9 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}")
 SPELLED = re.compile(r"\b[\w.+-]{2,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,8}")
-CUES = {"email": ("mail", "e-mail", "email", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "mastercard", "credit", "account"), "phone": ("tel", "phone", "call", "mobile", "fax", "cell")}
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+ASSIGNED = re.compile(r"[\w-][\"']? ?(?:=|:|=>|:=) ?[\"']?$")
+CUES = {"email": ("mail", "e-mail", "email", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "mastercard", "credit", "account"), "phone": ("tel", "phone", "call", "mobile", "fax", "cell"), "secret": ("token", "secret", "key", "password", "passwd", "auth", "bearer", "credential")}
 
 
 def luhn(digits: str) -> bool:
@@ -74,6 +78,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def opaque(s: str) -> bool:
+    """Whether a string looks drawn at random: long, of letters and digits, and not much of either alone."""
+    digits = sum(map(str.isdigit, s))
+    return len(s) >= 20 and OPAQUE.fullmatch(s) is not None and digits >= 3 and sum(map(str.isalpha, s)) >= 3
+
+
 def features(text: str, start: int, end: int) -> list[float]:
     s = text[start:end]
     digits = sum(c.isdigit() for c in s)
@@ -83,7 +93,8 @@ def features(text: str, start: int, end: int) -> list[float]:
     return [
         1.0, float(7 <= digits <= 8), float(9 <= digits <= 11), float(12 <= digits <= 19), float(digits > 19), float(s.count(".") == 3 and not letters),
         float("@" in s), float("(at)" in s or "[at]" in s), float(s.startswith("(") or ") " in s), float(letters > 0 and digits > 0), float(not digits),
-        float(len(groups) >= 3 and all(len(g) == 4 for g in groups)), *(float(any(c in before for c in CUES[k])) for k in KINDS),
+        float(len(groups) >= 3 and all(len(g) == 4 for g in groups)), *(float(any(c in before for c in CUES[k])) for k in LABELS),
+        float(opaque(s)), float(opaque(s) and bool(ASSIGNED.search(text[max(0, start - 8) : start]))),
     ]
 
 
@@ -95,7 +106,7 @@ def keys(text: str, start: int, end: int) -> list[str]:
         name = re.sub(r"\(at\)|\[at\]", "@", s)
         plain = re.sub(r"\(dot\)|\[dot\]", ".", name).replace(" ", "")
         return [plain, plain.partition("@")[0]]
-    if len(digits) >= 7:
+    if len(digits) >= 7 and not opaque(s):
         return [digits[-9:]]
     return [s]
 
@@ -106,6 +117,7 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     loose = [m.span() for m in NUMBER.finditer(text)]
     if "@" in text or "(at)" in text or "[at]" in text:
         loose += [m.span() for m in SPELLED.finditer(text)]
+    loose += [m.span() for m in OPAQUE.finditer(text) if opaque(m[0])]
     users = {u for s, k, e in base if k == 0 and len(u := text[s:e].partition("@")[0]) >= 5 and any(c.isdigit() for c in u)}
     if users:
         for m in re.finditer(r"(?<![\w.%+@-])(?:" + "|".join(map(re.escape, sorted(users, key=len, reverse=True))) + r")(?![\w%+@-])", text):
@@ -113,7 +125,7 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     out, last = [], 0
     covered = sorted((s, e) for s, e, _ in taken)
     at = 0
-    for s, e in sorted(loose):
+    for s, e in sorted(loose, key=lambda x: (x[0], -x[1])):
         while at < len(covered) and covered[at][1] <= s:
             at += 1
         clash = any(a < e and s < b for a, b in covered[at : at + 3])
@@ -136,28 +148,32 @@ def edges_of(text: str, nodes: list[tuple[int, int, int | None]]) -> tuple[list[
 
 
 def synthetic(rng: random.Random) -> tuple[str, list[int]]:
-    """A document whose nodes' labels (0 none, then KINDS) are known, in order."""
+    """A document whose nodes' labels (0 none, then LABELS) are known, in order."""
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     name = "".join(rng.choice("abcdefghik") for _ in range(6)) + digits(2)
     ten = digits(3), digits(3), digits(4)
-    entity = rng.randrange(5)
+    entity = rng.randrange(6)
+    opaque_one = lambda: "".join(rng.choice(rng.choice(("0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))) for _ in range(rng.choice((24, 32, 40, 64))))
     full = {1: f"{name}@mail.example.com", 2: ".".join(str(rng.randrange(256)) for _ in range(4)), 4: f"+1 ({ten[0]}) {ten[1]}-{ten[2]}"}
     again = {1: [name, f"{name} (at) mail.example.com"], 4: [f"({ten[0]}) {ten[1]}-{ten[2]}", f"{ten[0]}-{ten[1]}-{ten[2]}", "".join(ten)]}
     if entity == 3:
         body = digits(15)
         card = next(body + c for c in "0123456789" if luhn(body + c))
         full[3], again[3] = card, [card[:4] + "." + card[4:8] + "." + card[8:12] + "." + card[12:]]
+    if entity == 5:
+        secret, sign, mark = opaque_one(), rng.choice((" = ", "=", ": ", ":")), rng.choice(('"', "'", ""))
+        full[5], again[5] = rng.choice(("token", "secret", "api_key", "password", "auth", "id")) + f"{sign}{mark}{secret}{mark}", [secret, f"bearer {secret}"]
     parts: list[tuple[str, int | None]] = []
     if entity:
         parts.append((full[entity], entity))
-        if entity in again and rng.random() < 0.8:
+        if entity in again and rng.random() < (0.4 if entity == 5 else 0.8):
             parts.append((rng.choice(again[entity]), entity))
     for _ in range(rng.randrange(3)):
-        parts.append((rng.choice([digits(7), digits(9), digits(10), f"{digits(4)}-{digits(2)}-{digits(2)}", digits(16), digits(22), f"{digits(3)}.{digits(3)}.{digits(2)}"]), 0))
+        parts.append((rng.choice([digits(7), digits(9), digits(10), f"{digits(4)}-{digits(2)}-{digits(2)}", digits(16), digits(22), f"{digits(3)}.{digits(3)}.{digits(2)}", rng.choice(("", "commit ", "token ", "key ")) + opaque_one()]), 0))
     rng.shuffle(parts)
     text, labels = "", []
     for s, y in parts:
-        cue = rng.choice(CUES[KINDS[y - 1]]) + " " if y and rng.random() < 0.3 else ""
+        cue = rng.choice(CUES[LABELS[y - 1]]) + " " if y in (1, 2, 3, 4) and rng.random() < 0.3 else ""
         text += "lorem " * rng.randrange(1, 12) + cue + s + " "
         labels.append(y)
     return text, labels
@@ -168,7 +184,7 @@ def potentials() -> tuple[np.ndarray, float, float]:
     """Node weights (features x labels), chain and skip potentials."""
     rng = random.Random(7)
     x, y, like, near = [], [], [], []
-    for _ in range(600):
+    for _ in range(900):
         text, labels = synthetic(rng)
         base = base_spans(text)
         nodes = nodes_of(text, base)
@@ -182,22 +198,22 @@ def potentials() -> tuple[np.ndarray, float, float]:
             x.append(features(text, s, e))
             y.append(truth[i])
             for edges, into in ((skip, like), (chain, near)):
-                count = np.zeros(5)
+                count = np.zeros(len(LABELS) + 1)
                 for a, b in edges:
                     if i in (a, b):
                         count[truth[b if a == i else a]] += 1
                 into.append(count)
     x, y, like, near = np.array(x), np.array(y), np.array(like), np.array(near)
-    w, skip_w, chain_w = np.zeros((x.shape[1], 5)), 0.0, 0.0
-    target = np.eye(5)[y]
-    for _ in range(400):
+    w, skip_w, chain_w = np.zeros((x.shape[1], len(LABELS) + 1)), 0.0, 0.0
+    target = np.eye(len(LABELS) + 1)[y]
+    for _ in range(1000):
         z = x @ w + skip_w * like + chain_w * near
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         g = (target - p) / len(y)
-        w += 2.0 * (x.T @ g - 1e-3 * w)
-        skip_w += 2.0 * (float((g * like).sum()) - 1e-3 * skip_w)
-        chain_w += 2.0 * (float((g * near).sum()) - 1e-3 * chain_w)
+        w += 4.0 * (x.T @ g - 2e-4 * w)
+        skip_w += 4.0 * (float((g * like).sum()) - 2e-4 * skip_w)
+        chain_w += 4.0 * (float((g * near).sum()) - 2e-4 * chain_w)
     return w, max(chain_w, 0.0), max(skip_w, 0.0)
 
 
@@ -237,31 +253,33 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         return base, base
     w, chain_w, skip_w = potentials()
     chain, skip = edges_of(text, nodes)
-    unary = np.zeros((len(nodes), 5))
+    unary = np.zeros((len(nodes), len(LABELS) + 1))
     for i, (s, e, kind) in enumerate(nodes):
-        unary[i] = np.where(np.arange(5) == kind + 1, 0.0, -60.0) if kind is not None else np.array(features(text, s, e)) @ w
+        unary[i] = np.where(np.arange(len(LABELS) + 1) == kind + 1, 0.0, -60.0) if kind is not None else np.array(features(text, s, e)) @ w
     p = beliefs(unary, [*chain, *skip], np.array([chain_w] * len(chain) + [skip_w] * len(skip)))
     more = [(s, int(p[i].argmax()) - 1, e) for i, (s, e, kind) in enumerate(nodes) if kind is None and p[i].argmax() > 0 and p[i].max() > 0.5]
     return base, sorted([*base, *more])
 
 
 def written(found: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
+    return ",".join(f"{LABELS[k]}:{s}:{e}" for s, k, e in found)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, counts of the patterns' spans by kind, their digest, all spans, and how many the random field added."""
+    """id, counts of the patterns' spans by kind, their digest, all spans, how many the random field added (secrets among
+    them), and how many there are in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             rows = [spans(t) for t in texts_of(b.column(1))]
             counts = [pa.array([sum(x[1] == k for x in base) for base, _ in rows], pa.int64()) for k in range(4)]
+            more = [len(x) - len(base) for base, x in rows], [sum(s[1] == len(KINDS) for s in x) for _, x in rows], [len(x) for _, x in rows]
             digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in rows])
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, pa.array([written(x) for _, x in rows], pa.string()), pa.array([len(x) - len(base) for base, x in rows], pa.int64())], [id_col, *names, "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, pa.array([written(x) for _, x in rows], pa.string()), *(pa.array(c, pa.int64()) for c in more)], [id_col, *names, "base_sha256", "spans", "n_added", "n_secret", "n_spans"])
 
     names = [f"n_{k}" for k in KINDS]
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_added long")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_added long, n_secret long, n_spans long")
 
 
 def masked(text: str) -> str:
@@ -269,7 +287,7 @@ def masked(text: str) -> str:
     out, done = [], 0
     for s, k, e in spans(text)[1]:
         if s >= done:
-            out += [text[done:s], f"[{KINDS[k].upper()}]"]
+            out += [text[done:s], f"[{LABELS[k].upper()}]"]
         done = max(done, e)
     return "".join([*out, text[done:]]) if out else text
 
