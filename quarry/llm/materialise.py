@@ -10,9 +10,12 @@ again does no harm.
 
 Only the number of sequences of each task reaches the driver. Ids take two bytes where the vocabulary allows, else four.
 
+The shards' folder must be one that executors share; a path without a scheme is one of the default file system. Python
+writes where the folder is mounted (file:). In a store that only Spark reaches, a shard is a Parquet file in that folder
+with the same bytes per slot, sorted by slot, so that reading from a slot on skips the row groups before it.
+
 Cases: a null or empty text is its end token alone. Repeated rows are documents of their own. No rows make no shards. Other
-columns are not read. The shards' folder must be one that executors share; where it has no local path, shards are Parquet
-rows instead, sorted by slot, with the same bytes per slot.
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mapped, shared_dir, slices, stored, texts_of
@@ -117,8 +120,15 @@ def shard_size(n: int, least: int = 4096, most_shards: int = 20_000) -> int:
     return max(least, -(-n // most_shards))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: that of the default file system where it names none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, key: int = KEY, per_shard: int | None = None, to: str | None = None) -> DataFrame:
-    """Writes the shards and returns a row per sequence: slot, shard, byte_offset, n_tokens, first_doc, first_start, crc32.
+    """Writes the shards and returns a row per sequence: slot, shard, byte_offset, n_tokens, first_doc, first_start, crc32,
+    and the folder, which read_shards() takes.
 
     per_shard: sequences of a shard, shard_size() of their number if None. Each range of slots is one shuffle partition.
     """
@@ -130,9 +140,8 @@ def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LE
         base[task] = n
         n += c
     per_shard = per_shard or shard_size(n)
-    to = to or f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}"
-    local = to.removeprefix("file://") if to.startswith(("file:/", "/")) else None
-    local = local.removeprefix("file:") if local else None
+    to = qualified(spark, to or f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}")
+    local = "/" + to.removeprefix("file:").lstrip("/") if to.startswith("file:") else None
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
@@ -176,15 +185,29 @@ def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LE
     shards = max(1, -(-n // per_shard))
     dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
     rows = mapped(dealt, write, "slot long, shard long, byte_offset long, n_tokens long, first_doc long, first_start long, crc32 long, ids binary")
-    rows = stored(rows, "index")  # the shards are written once, here
-    return rows.drop("ids").withColumn("folder", F.lit(to)) if local else rows.drop("ids").withColumn("folder", F.lit(None).cast("string"))
-
-
-def read_shards(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = 4096, width: str = "<u2") -> Iterator[np.ndarray]:
-    """Sequences of slots first, first + 1, ... by seeking; goes on from any slot."""
+    if local:
+        rows = stored(rows.drop("ids"), "index")  # the shards are written once, here
+    else:
+        schema = rows.schema
+        rows.write.mode("overwrite").parquet(to)
+        rows = spark.read.schema(schema).parquet(to).drop("ids")
+    return rows.withColumn("folder", F.lit(to))
+
+
+def read_shards(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = 4096, width: str = "<u2", spark: SparkSession | None = None) -> Iterator[np.ndarray]:
+    """Sequences of slots first, first + 1, ... by seeking; goes on from any slot. A folder that is not mounted is read
+    by `spark`, shard by shard."""
+    if not folder.startswith(("file:", "/")):
+        for shard in range(first // per_shard, (first + count - 1) // per_shard + 1):
+            low, high = max(first, shard * per_shard), min(first + count, (shard + 1) * per_shard)
+            rows = spark.read.parquet(folder).where(F.col("slot").between(low, high - 1)).select("slot", "ids")
+            for r in sorted(rows.collect()):  # at most a shard
+                yield np.frombuffer(r.ids, width)
+        return
     stride = length * np.dtype(width).itemsize
+    at = "/" + folder.removeprefix("file:").lstrip("/")
     for slot in range(first, first + count):
-        with open(f"{folder.removeprefix('file://')}/shard-{slot // per_shard:08d}.bin", "rb") as f:
+        with open(f"{at}/shard-{slot // per_shard:08d}.bin", "rb") as f:
             f.seek(slot % per_shard * stride)
             yield np.frombuffer(f.read(stride), width)
 

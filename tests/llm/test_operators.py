@@ -221,7 +221,8 @@ def test_near_copies_of_five_words(spark):
                 other[at] = f"x{rng.integers(0, 5000)}"
             rows.append((10 * k + j, " ".join(other)))
     rows += [(1001, ""), (1002, None), (1003, "Few words"), (1004, "few  words"), (None, rows[0][1])]
-    sets = {i: simhash.shingles(t or "") for i, t in rows if i is not None}
+    fives = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = {i: fives((t or "").lower().split()) for i, t in rows if i is not None}
     root = {i: i for i in sets}
     pairs = 0
     for a in sets:
@@ -311,6 +312,21 @@ def distance(a, b):
     return row[-1]
 
 
+def test_marks_of_any_distance():
+    inside = lambda t: [w for w, q in zip(t.split(), toxicity.in_marks(t), strict=True) if q]
+    long = " ".join(f"w{k}" for k in range(500))
+    assert inside(f'a "b {long} c" d') == ['"b', *long.split(), 'c"']
+    assert inside('a "b c" d «e f», g “h”. i') == ['"b', 'c"', "«e", "f»,", "“h”."]
+    assert inside('a "b c\n\nd e" f') == [] and inside('no " b c " d') == ['"', "b", "c", '"'] and inside("") == []
+    assert inside('stray "a b "c d" e') == ['"c', 'd"']
+
+
+def test_copies_are_alike():
+    a, b, c = ({f"{x}{k}" for k in range(40)} for x in "abc")
+    groups = toxicity.copies([a, b, a - {"a1"} | {"z"}, set(), c | {"common"}, b | {"common"}])
+    assert groups == [a | {"z"}, b | {"common"}, c | {"common"}]
+
+
 def test_automaton_is_edit_distance():
     terms = [("abcab", False, 1), ("bcabcabca", False, 2), ("cab", False, 0)]
     auto = toxicity.Automaton(terms)
@@ -370,6 +386,16 @@ def test_random_field_adds_like_entities_only():
         assert pii.spans(clean)[1] == []
 
 
+def test_secrets_are_assigned_or_repeated():
+    found = lambda t: [(pii.LABELS[k], t[a:b]) for a, k, b in pii.spans(t)[1]]
+    one = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert found(f'x token = "{one}" y') == [("secret", one)]
+    assert found(f'x token = "{one}" y {one} z') == [("secret", one)] * 2
+    assert found("api_key: sk-abcDEF1234567890abcdef12") == [("secret", "sk-abcDEF1234567890abcdef12")]
+    assert found(f"commit {one}") == [] and found("a-very-long-name-without-any-number = 1") == []
+    assert pii.masked(f'token = "{one}"') == 'token = "[SECRET]"'
+
+
 def test_beliefs_are_exact_on_trees():
     rng = np.random.default_rng(1)
     unary, edges, strength = rng.normal(size=(4, 3)), [(0, 1), (1, 2), (1, 3)], np.array([0.7, 1.5, 0.3])
@@ -485,6 +511,29 @@ def test_urls(spark):
 # 8
 
 
+def test_urls_in_sql(spark):
+    """The SQL does the whole job: edges of every form, on pages that have them."""
+    import duckdb
+
+    link = lambda attributes: f"<html><link {attributes}></html>"
+    rows = [
+        (1, "http://a.example.com/x", link("rel='canonical' href='http://example.com/en/7'")),
+        (2, "http://b.net/q/r?s=1#t", link("HREF=../de REL=Canonical")), (3, "HTTP://B.net/de/1", link('href="/q/r" rel="canonical"')),
+        (4, "http://c.org/a", '<META http-equiv="Refresh" content="0; URL=//c.org/es/b">'), (5, "http://c.org/es/b", None),
+        (6, "http://d.com/z", link('rel="canonical" href="y#f"')), (7, "http://d.com/y", link('rel="canonical" href="http://d.com/en/1"')),
+        (8, "http://d.com/w", link('rel="next" href="http://d.com/en/1"')), (9, None, link('rel="canonical" href="http://d.com/en/1"')),
+        (10, "nothing", "<p>"), (11, "http://e.com", link('rel="canonical" href="f?g"') + '<meta http-equiv=refresh content="url=http://e.com/en/">'), (12, "http://e.com/f?g", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = c.execute(urls.SQL).fetchall()
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[0] for r in got if r[4] == "block"} == {3, 4, 5, 6, 7, 11, 12} and {r[0] for r in got if r[3]} == {3, 5}
+
+
 def test_quotes(spark):
     m = [
         (1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> Hello there.\nFine."), (1, 2, "user", "unrelated"), (1, 3, "user", "On Monday X wrote:\n> > how are you\n> Fine.\nGood!"), (1, 4, "a", None), (1, 4, "a", "again"),
@@ -541,3 +590,12 @@ def test_shards(docs, odd, empty, library):
         again = list(materialise.read_shards(rows[0].folder, len(rows) // 2, 3, 64, 50))
         assert all((a == b).all() for a, b in zip(again, read[len(rows) // 2 :], strict=False))
     assert materialise.materialise(empty).count() == 0
+
+
+def test_shards_where_only_spark_reaches(docs, spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./out", f"file://{tmp_path}")
+    rows = sorted(materialise.materialise(docs, length=64, per_shard=50, to="viewfs://far/out/shards").collect())
+    assert {r.folder for r in rows} == {"viewfs://far/out/shards"} and [r.slot for r in rows] == list(range(len(rows)))
+    read = list(materialise.read_shards(rows[0].folder, 40, 30, 64, 50, spark=spark))
+    assert [zlib.crc32(x.tobytes()) for x in read] == [r["crc32"] for r in rows[40:70]]
+    assert materialise.qualified(spark, "/a/b") == "file:/a/b"
