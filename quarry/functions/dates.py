@@ -82,6 +82,16 @@ def extracted(text: Column) -> Column:
     return F.pandas_udf(run, "array<struct<norm:string,found:string>>")(text)
 
 
+def displayed(norm: Column) -> Column:
+    """A normal form for readers: "05. März 2010, 14:30 Uhr", without what isn't known; an unknown month is ???."""
+    p = F.split(norm, "-")
+    known = lambda i, before, after: F.when(F.startswith(p[i], F.lit("*")), "").otherwise(F.concat(F.lit(before), p[i], F.lit(after)))
+    names = F.array(*[F.lit(m.capitalize()) for m in MONTHS])
+    month = F.coalesce(F.get(names, p[1].try_cast("int") - 1), F.lit("???"))
+    hour = F.when(F.startswith(p[3], F.lit("*")), "").otherwise(F.concat(F.lit(", "), p[3], known(4, ":", ""), F.lit(" Uhr")))
+    return F.concat(known(2, "", ". "), month, known(0, " ", ""), hour)
+
+
 def found(text: Column) -> Column:
     """Normal forms of the numeric dates dd.mm.yyyy and yyyy-mm-dd in a text, as an array."""
     german = F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{1,2}\.\d{1,2}\.\d{4}\b"), F.lit(0)), lambda d: _joined(F.split_part(d, F.lit("."), F.lit(3)), F.split_part(d, F.lit("."), F.lit(2)), F.split_part(d, F.lit("."), F.lit(1))))

@@ -106,6 +106,29 @@ def last_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
 
 
+def teaser(text: Column, n: int = 50) -> Column:
+    """The first n words, and dots where there are more."""
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, " ...").otherwise(""))
+
+
+def owner(url: Column, names: dict[str, str]) -> Column:
+    """Whose pages a URL is among, by its part that begins with ~; null where there is none or it isn't known."""
+    short = F.regexp_extract(url, r"[:/#?=.]~([^:/#?=.]*)", 1)
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[short] if names else F.lit(None).cast("string")
+
+
+def class_text(html: Column, tag: str, name: str) -> Column:
+    """The text of the first element of a tag and class, for templates that mark authors so; null if there is none."""
+    found = F.regexp_extract(html, rf'(?s)<{tag}\s[^>]*?class="{name}"[^>]*>(.*?)</{tag}>', 1)
+    return F.nullif(tidy(F.regexp_replace(found, r"<[^>]*>", " ")), F.lit(""))
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content of a meta element, null if there is none."""
+    return F.nullif(F.regexp_extract(html, rf'(?i)<meta\s[^>]*?(?:name|http-equiv)="{name}"[^>]*?content="([^"]*)"', 1), F.lit(""))
+
+
 def title(html: Column) -> Column:
     return tidy(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1))
 

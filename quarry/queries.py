@@ -18,7 +18,7 @@ from quarry.operators import rank as R
 from quarry.plans import dialects, language
 from quarry.plans.evaluate import Evaluator, QueryConfig, limited
 from quarry.plans.fuzzy import GERMAN, FuzzyConfig, fuzz
-from quarry.sources.tables import files, read_index, read_xml, table, upsert_text, write_index, write_sitemap, write_xml
+from quarry.sources.tables import converted, files, read_index, read_xml, table, upsert_text, write_index, write_sitemap, write_xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,6 +453,20 @@ def fn_html_parts(s: SparkSession, d: str) -> DataFrame:
     return pages(s, d).select("page_id", X.title(h).alias("title"), X.headline(h).alias("headline"), X.plain(h).alias("body"))
 
 
+@query(r"""WITH w AS (SELECT page_id, html, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Ada Lore' WHEN 1 THEN 'Cy Dell' ELSE CASE WHEN page_id % 4 = 2 AND page_id % 3 = 0 THEN 'Bo Berg' END END AS author,
+CASE WHEN page_id % 2 = 0 THEN '05. März 2010, 14:30 Uhr' ELSE 'Juni 2010' END AS modified, array_to_string(w[1:50], ' ') || CASE WHEN len(w) > 50 THEN ' ...' ELSE '' END AS teaser FROM w""")
+def fn_page_info(s: SparkSession, d: str) -> DataFrame:
+    """A page's author by its address or its template, when it was changed, and how it begins."""
+    k = F.col("page_id")
+    user = F.when(k % 4 == 0, "/~al/").when((k % 4 == 2) & (k % 3 == 0), "/~bo/x").otherwise("/~zz/")
+    box = F.when(k % 4 == 1, '<div class="author"><b>Cy</b>\nDell</div>').otherwise("")
+    changed = F.when(k % 2 == 0, "2010-03-05-14-30").otherwise("2010-06-**-**-**")
+    p = pages(s, d).select("page_id", "html", F.concat(F.lit("http://h.org"), user).alias("at"), F.concat(F.lit('<meta name="date" content="'), changed, F.lit('">'), box).alias("head"))
+    author = F.coalesce(X.owner(F.col("at"), {"al": "Ada Lore", "bo": "Bo Berg"}), X.class_text(F.col("head"), "div", "author"))
+    return p.select("page_id", author.alias("author"), D.displayed(X.meta(F.col("head"), "date")).alias("modified"), X.teaser(X.plain(F.col("html"))).alias("teaser"))
+
+
 @query("SELECT page_id, CASE WHEN regexp_extract(html, '(?s)<title>(.*?)</title>', 1) = '' THEN string_split(url, '/')[-1] ELSE trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) END AS title FROM pages")
 def fn_title_or_name(s: SparkSession, d: str) -> DataFrame:
     return pages(s, d).select("page_id", F.coalesce(F.nullif(X.title(F.col("html")), F.lit("")), F.substring_index("url", "/", -1)).alias("title"))
@@ -719,7 +733,7 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(s, d, "events"))
 
 
-@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE context = 'content' AND word = 'The'")
+@query(f"WITH {POST} SELECT {FLAT} FROM postings")
 def stream_index(s: SparkSession, d: str) -> DataFrame:
     """The index after a stream of all documents has been read, micro-batch by micro-batch."""
     import uuid
@@ -728,7 +742,7 @@ def stream_index(s: SparkSession, d: str) -> DataFrame:
 
     base = f"{(s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/quarry/stream-{uuid.uuid4().hex}"
     incremental.run(s, f"{d}/documents.parquet*", docs(s, d).schema, base, f"{base}/checkpoint").awaitTermination()
-    return flat(incremental.current(s, base).where("context = 'content' and word = 'The'"))
+    return flat(incremental.current(s, base))
 
 
 # Further operators: crawl rounds, dictionaries, shards, dialects, codecs
@@ -887,10 +901,10 @@ def maint_simplify(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.to_json(F.struct("lang", "n_chars")).alias("custom"))
 
 
-@query(f"WITH {POST}, g AS (SELECT doc_id, context, word, positions, list_transform(positions, lambda x, i: x - coalesce(positions[i - 1], 0)) AS gaps FROM postings WHERE starts_with(word_lc, 'th')) SELECT doc_id, context, word, array_to_string(gaps, ',') AS gaps, array_to_string(positions, ',') AS positions FROM g")
+@query(f"WITH {POST}, g AS (SELECT doc_id, context, word, positions, list_transform(positions, lambda x, i: x - coalesce(positions[i - 1], 0)) AS gaps FROM postings) SELECT doc_id, context, word, array_to_string(gaps, ',') AS gaps, array_to_string(positions, ',') AS positions FROM g")
 def idx_deltas(s: SparkSession, d: str) -> DataFrame:
     """Positions as gaps, and back."""
-    p = th(s, d).select("doc_id", "context", "word", I.deltas(F.col("positions")).alias("steps"))
+    p = post(s, d).select("doc_id", "context", "word", I.deltas(F.col("positions")).alias("steps"))
     return p.select("doc_id", "context", "word", F.array_join("steps", ",").alias("gaps"), F.array_join(I.from_deltas(F.col("steps")), ",").alias("positions"))
 
 
@@ -900,14 +914,30 @@ def own_folder(s: SparkSession, name: str) -> str:
     return f"{(s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE context = 'content' AND starts_with(word_lc, 'th')")
+@query(f"WITH {POST} SELECT {FLAT} FROM postings")
 def io_index(s: SparkSession, d: str) -> DataFrame:
-    """An index that was written and is read again, of which a prefix reads one context's row groups."""
+    """A whole index that was written and is read again."""
+    at = own_folder(s, "index")
+    write_index(post(s, d), doc_table(s, d), at)
+    return flat(read_index(s, at)[0])
+
+
+@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE context = 'content' AND starts_with(word_lc, 'th')")
+def io_index_probe(s: SparkSession, d: str) -> DataFrame:
+    """A prefix of a stored index, which reads one context's row groups."""
     at = own_folder(s, "index")
     write_index(post(s, d), doc_table(s, d), at)
     return flat(read_index(s, at)[0].where("context = 'content' and startswith(word_lc, 'th')"))
 
 
+@query("SELECT doc_id, 'doc:' || doc_id AS uri FROM documents")
+def io_index_docs(s: SparkSession, d: str) -> DataFrame:
+    """The document table of a stored index."""
+    at = own_folder(s, "index")
+    write_index(post(s, d), doc_table(s, d), at)
+    return read_index(s, at)[1].select("doc_id", "uri")
+
+
 @query("SELECT doc_id, lang, source FROM documents")
 def io_xml(s: SparkSession, d: str) -> DataFrame:
     at = own_folder(s, "xml")
@@ -930,6 +960,17 @@ def io_json(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("doc_id long, lang string").json(at)
 
 
+@query("SELECT lang || '|' || upper(lang) AS text FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def io_converted(s: SparkSession, d: str) -> DataFrame:
+    """Files of a format that a given function makes text of; here compressed ones."""
+    import gzip
+
+    at = own_folder(s, "packed")
+    one = docs(s, d).where("lang is not null").select(F.concat_ws("|", "lang", F.upper("lang")).alias("value"), F.col("lang").alias("part")).distinct()
+    one.repartition(1, "part").write.partitionBy("part").option("compression", "gzip").text(at)
+    return converted(s, at, lambda raw: gzip.decompress(raw).decode().strip(), "*.gz").select("text")
+
+
 @query("SELECT count(*) AS files, true AS sized FROM (SELECT DISTINCT lang FROM documents)")
 def io_files(s: SparkSession, d: str) -> DataFrame:
     """Files under a folder with their sizes: one folder for each language."""
@@ -965,11 +1006,11 @@ def fn_mime(s: SparkSession, d: str) -> DataFrame:
     return pages(s, d).select("page_id", kind.isin(*X.PAGE_TYPES).alias("page"), kind.isin(*X.PDF_TYPES).alias("pdf"))
 
 
-@query(f"WITH {POST} SELECT doc_id, context, word, CAST(len(positions) AS INT) AS n, list_contains(positions, 3) AS third, array_to_string(list_sort(list_distinct(list_concat(positions, [0, 3]))), ',') AS more, CAST(list_sum(positions) AS BIGINT) AS total FROM postings WHERE starts_with(word_lc, 'th')")
+@query(f"WITH {POST} SELECT doc_id, context, word, CAST(len(positions) AS INT) AS n, list_contains(positions, 3) AS third, array_to_string(list_sort(list_distinct(list_concat(positions, [0, 3]))), ',') AS more, CAST(list_sum(positions) AS BIGINT) AS total FROM postings")
 def fn_positions(s: SparkSession, d: str) -> DataFrame:
     """Sets of positions: size, membership, union and a fold."""
     p = F.col("positions")
-    return th(s, d).select("doc_id", "context", "word", F.size(p).alias("n"), F.array_contains(p, 3).alias("third"), F.array_join(F.array_sort(F.array_union(p, F.array(F.lit(0), F.lit(3)))), ",").alias("more"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return post(s, d).select("doc_id", "context", "word", F.size(p).alias("n"), F.array_contains(p, 3).alias("third"), F.array_join(F.array_sort(F.array_union(p, F.array(F.lit(0), F.lit(3)))), ",").alias("more"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("SELECT url AS src, unnest(regexp_extract_all(html, '<(?:img|input|link|script|applet)\\s[^>]*?(?:src|href|code)=\"([^\"]*)\"', 1)) AS dst FROM pages")
@@ -1020,7 +1061,7 @@ def q_sent(s: SparkSession, d: str) -> DataFrame:
     return flat(Evaluator(post(s, d))(language.load(language.dump(language.parse("th AND NOT de")))))
 
 
-@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE context = 'content' AND word = 'The' AND NOT {in_langs('es')}")
+@query(f"WITH {POST} SELECT {FLAT} FROM postings WHERE NOT {in_langs('es')}")
 def stream_removed(s: SparkSession, d: str) -> DataFrame:
     """The streamed index while some documents are taken out."""
     from quarry.streaming import incremental
@@ -1028,7 +1069,7 @@ def stream_removed(s: SparkSession, d: str) -> DataFrame:
     base = own_folder(s, "stream")
     incremental.run(s, f"{d}/documents.parquet*", docs(s, d).schema, base, f"{base}/checkpoint").awaitTermination()
     left = incremental.current(s, base, docs(s, d).where("lang = 'es'"))
-    return flat(left.where("context = 'content' and word = 'The'"))
+    return flat(left)
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS uri FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderkey % 7 = 0")
