@@ -193,15 +193,16 @@ def prefixes(apart: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
         for b in slices(batches, 64):
             found = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], ["same", "h"])
+                whose = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+                yield from slices([pa.RecordBatch.from_arrays([pa.array(whose), pa.array(np.concatenate(found))], ["same", "h"])], 1 << 16)
 
     held = mapped(hashed.join(apart.select("same"), "same").select("same", "hashes"), each, "same long, h long")
     common = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    order = held.join(common, "h").groupBy("same").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))  # of one text
+    # Shingles that no other node has come first and bring no pairs, so places are counted from the end.
+    last = F.row_number().over(Window.partitionBy("same").orderBy(F.desc("df"), F.desc("h")))
+    rows = held.join(common, "h").select("same", "h", last.alias("last")).join(apart, "same")
     first = F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1
-    alone = F.col("size") - F.size("shared")  # shingles that no other node has come first
-    rows = order.join(apart, "same").select("same", "root", "size", alone.alias("alone"), F.slice("shared", 1, F.greatest(first - alone, F.lit(0)).cast("int")).alias("few"))
-    return rows.select("same", "root", "size", "alone", F.posexplode("few").alias("k", "one")).select("one.h", (F.col("alone") + F.col("k")).alias("at"), "same", "root", "size")
+    return rows.select("h", (F.col("size") - F.col("last")).alias("at"), "same", "root", "size").where(F.col("at") < first)
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, drawn: int = 12) -> DataFrame:
