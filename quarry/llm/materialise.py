@@ -38,7 +38,7 @@ from quarry.llm.tokens import default_vocabulary, fast_encoder
 LENGTH, END, PAD, KEY = 2048, 50256, 50256, 0x9E3779B97F4A7C15
 ROUNDS = 4
 #: Neighbouring sequences that are kept compressed together until they are dealt out.
-TOGETHER = 64
+TOGETHER = 1024
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pack = fast_encoder(path), zstandard.ZstdCompressor(level=3).compress
+        bpe, pack = fast_encoder(path), zstandard.ZstdCompressor(level=5).compress
         width = "<u2" if len(bpe.bytes) <= 1 << 16 else "<u4"
         task, k = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
@@ -145,7 +145,7 @@ def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LE
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        for b in slices(batches, 4):
+        for b in slices(batches, 1):
             for task, k, z, *told in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 slot = permuted(base[task] + k + np.arange(len(told[0])), n, key)
                 raw = unpack(z)
