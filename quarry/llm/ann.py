@@ -1,7 +1,9 @@
 """Operator 10: approximate nearest neighbours by adaptive dimension scan of inverted lists.
 
-Fitting: k-means on a bounded sample (`sample` vectors, chosen by a hash of the id) gives at most `max_lists` centroids;
-these and a random rotation go to every task. Every vector is in the list of its nearest centroid. How many of the nearest
+Fitting: k-means on a bounded sample (`sample` vectors, chosen by a hash of the id) gives at most `max_lists` centroids.
+Where they would hold over `fill` vectors each, k-means on what the sample's vectors differ from their centroids by gives at
+most `max_cuts` more, which cut every list alike; so lists stay short up to max_lists * max_cuts * fill vectors. Centroids and a random
+rotation go to every task. Every vector is in the list of its nearest centroid. How many of the nearest
 lists a query scans is learned from the sample too: as many as hold the share `recall` of true neighbours there, and at least
 FLOOR vectors. The first lists, of some NEAR vectors, are scanned before the rest, which need only return what isn't
 farther than the k-th best there. In a list, rotated vectors are read in
@@ -23,17 +25,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mapped, stored
+from quarry.llm.common import mapped, slices, stored
 
 PART, QUERY_BLOCK = 4000, 4000
 COLUMNS = 16
 FLOOR = 4000
 NEAR = 500
 EPSILON = 2.1
+#: Of lists that are cut, a query looks at the parts of so many nearest ones.
+NEAR_LISTS = 32
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -62,13 +67,44 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
 
 
-def probes(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
+class Lists:
+    """Centroids of a sample; with cuts > 1 each one's list is cut by the centroids of the sample's differences from theirs."""
+
+    def __init__(self, x: np.ndarray, lists: int, cuts: int = 1):
+        self.centers, self.cuts = kmeans(x, lists), None
+        if cuts > 1:
+            self.cuts = kmeans(x - self.centers[nearest(x, self.centers, 1)[:, 0]], cuts, seed=6)
+        self.n = lists * cuts
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Each row's list."""
+        near = nearest(x, self.centers, 1)[:, 0]
+        return near if self.cuts is None else near * len(self.cuts) + nearest(x - self.centers[near], self.cuts, 1)[:, 0]
+
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """For each row the lists that it may look at, nearest first."""
+        if self.cuts is None:
+            return nearest(x, self.centers, len(self.centers))
+        top, m = nearest(x, self.centers, min(NEAR_LISTS, len(self.centers))), len(self.cuts)
+        out, half = np.empty((len(x), top.shape[1] * m), np.int64), (self.cuts * self.cuts).sum(axis=1) / 2
+        for i, (q, one) in enumerate(zip(x, top, strict=True)):
+            r = q - self.centers[one]
+            d = (r * r).sum(axis=1)[:, None] / 2 - r @ self.cuts.T + half
+            out[i] = (one[:, None] * m + np.arange(m)).ravel()[np.argsort(d, axis=None, kind="stable")]
+        return out
+
+
+def probes(x: np.ndarray, lists: Lists, k: int, recall: float, queries: int = 200) -> int:
     """How many nearest lists hold the share `recall` of the k nearest neighbours that sample vectors have in the sample."""
-    near = nearest(x, c, 1)[:, 0]
+    near = lists.of(x)
     asked = np.linspace(0, len(x) - 1, min(queries, len(x)), dtype=np.int64)
-    ranks = np.argsort(nearest(x[asked], c, len(c)), axis=1)
     found = nearest(x[asked], x, min(k + 1, len(x)))
-    each = np.concatenate([r[near[f[f != q]]] for q, r, f in zip(asked, ranks, found, strict=True)])
+    each = []
+    for q, order, f in zip(asked, lists.ranked(x[asked]), found, strict=True):
+        rank = np.full(lists.n, len(order) - 1)
+        rank[order] = np.arange(len(order))
+        each.append(rank[near[f[f != q]]])
+    each = np.concatenate(each)
     return 1 + int(np.quantile(each, recall, method="higher")) if len(each) else 1
 
 
@@ -99,7 +135,7 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample: int = 20_000, max_lists: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample: int = 20_000, max_lists: int = 1024, fill: int = 1000, max_cuts: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row that the condition `queries` picks."""
     spark = vectors.sparkSession
     nothing = "query_id long, rank int, vec_id long, score double"
@@ -116,32 +152,32 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     entries = stored(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "vectors")
     asked = stored(good.where("is_query").select("id", "v").distinct().join(entries.select("v", "rep"), "v").select(F.col("id").alias("query_id"), "rep"), "asked")
     total = entries.count()
-    lists = max(1, min(max_lists, total // 100))
     picked = entries.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()["v"]  # at most `sample` vectors
     x = np.array([np.asarray(r, np.float64) for r in picked])
-    lists = min(lists, len(x))
-    centers, turn = kmeans(x, lists), rotation(d)
+    lists = max(1, min(max_lists, total // 100, len(x)))
+    index, turn = Lists(x, lists, min(max_cuts, len(x), -(-total // (lists * fill)))), rotation(d)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(matrix(b.column(1), d), centers, 1)[:, 0], pa.int32())], ["rep", "v", "list"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.of(matrix(b.column(1), d)), pa.int32())], ["rep", "v", "list"])
 
     kind = entries.schema["v"].dataType.simpleString()
     placed = stored(mapped(entries.select("rep", "v"), place, f"rep long, v {kind}, list int"), "placed")
-    held = np.zeros(lists, np.int64)
-    for r in placed.groupBy("list").count().collect():  # a row per list
+    held = np.zeros(index.n, np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row per list, of which max_lists * max_cuts bounds the number
         held[r[0]] = r[1]
     parts = np.maximum(1, -(-held // PART))
-    share = probes(x, centers, k, recall)
+    share = probes(x, index, k, recall)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 128):
             if not b.num_rows:
                 continue
-            order = nearest(matrix(b.column(1), d), centers, lists)
-            enough = np.maximum(share, 1 + (np.cumsum(held[order], axis=1) < max(most, FLOOR)).sum(axis=1)).clip(max=lists)
-            before = np.cumsum(held[order], axis=1) - held[order]
+            order = index.ranked(matrix(b.column(1), d))
+            upto = np.cumsum(held[order], axis=1)
+            enough = np.maximum(share, 1 + (upto < max(most, FLOOR)).sum(axis=1)).clip(max=order.shape[1])
+            before = upto - held[order]
             rows, found, part, first = [], [], [], []
             for i, n in enumerate(enough.tolist()):
                 for one, earlier in zip(order[i, :n].tolist(), before[i].tolist(), strict=False):
@@ -156,13 +192,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
 
     looked = asked.select("rep").distinct().join(placed.select("rep", "v"), "rep")
     probed = mapped(looked, choose, f"rep long, v {kind}, list int, part int, first boolean")
-    n_asked = np.zeros(lists, np.int64)
+    n_asked = np.zeros(index.n, np.int64)
     for r in probed.where("part = 0").groupBy("list").count().collect():  # a row per list
         n_asked[r[0]] = r[1]
     blocks = np.maximum(1, -(-n_asked // QUERY_BLOCK))
-    as_map = lambda counts: F.array(*[F.lit(int(c)) for c in counts])[F.col("list")]
-    probed = probed.withColumn("block", F.pmod(F.xxhash64("rep"), as_map(blocks)).cast("int"))
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("rep"), as_map(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), as_map(blocks) - 1)))
+    some = np.flatnonzero((held > 0) | (n_asked > 0))
+    deal = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": some.astype(np.int32), "parts": parts[some], "blocks": blocks[some]})))  # a row per list
+    probed = probed.join(deal, "list").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = placed.join(deal, "list").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).drop("parts", "blocks")
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = [([], [], [])]

@@ -469,6 +469,23 @@ def test_neighbours(spark):
     assert all(known[a, c] == s for a, _, c, s in got if (a, c) in known)
 
 
+def test_lists_cut_in_parts(spark, monkeypatch):
+    """Two levels of centroids, scanning a fifth of all vectors."""
+    monkeypatch.setattr(ann, "FLOOR", 400)
+    monkeypatch.setattr(ann, "NEAR", 100)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 2500)] * 2 + rng.normal(size=(2500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = ann.Lists(x.astype(float), 8, 6)
+    assert index.n == 48 and index.of(x.astype(float)).max() < 48
+    ranked = index.ranked(x[:50].astype(float))
+    assert all(sorted(r) == list(range(48)) for r in ranked) and (ranked[:, 0] == index.of(x[:50].astype(float))).mean() > 0.7
+    got = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 100 == 0, max_lists=8, fill=50).collect())
+    want = brute_neighbours(list(enumerate(x.tolist())))
+    pairs = lambda rows: {(a, c) for a, _, c, _ in rows}
+    assert len(got) == len(want) and len(pairs(got) & pairs(want)) >= 0.9 * len(want)
+
+
 def test_odd_vectors(spark):
     one = [1.0, 0.0, 0.0]
     rows = [(k, one) for k in range(0, 40)] + [(100, [1.0, 0.0, 0.5]), (100, [1.0, 0.0, 0.5]), (200, [0.0, 0.0, 0.0]), (300, None), (400, [1.0, float("nan"), 0.0]), (500, [1.0, None, 0.0]), (600, [1.0]), (700, [float("inf"), 0.0, 0.0]), (None, one)]
