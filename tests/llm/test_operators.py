@@ -88,6 +88,15 @@ def test_long_runs(library, text):
     assert np.frombuffer(TrieBpe(default_vocabulary()).encode([text])[0], "<u4").tolist() == want == FastBpe(default_vocabulary()).encode(text).tolist()
 
 
+def test_fast_encoder_cuts_white_space_as_the_library(library):
+    rng = np.random.default_rng(3)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\u2009", "\x1c", "\x85", "a", "Bc", "é", "9", "12", "!", "'s", "'", "…", "日", "\u200b", "\x00", "\x0b"]
+    bpe = FastBpe(default_vocabulary())
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits, rng.integers(0, 14)))
+        assert bpe.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_letters_of_any_unicode_version(library):
     """A character may be a letter to one library and unknown to another."""
     slow, fast = TrieBpe(default_vocabulary()), FastBpe(default_vocabulary())
