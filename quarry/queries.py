@@ -1072,6 +1072,17 @@ def stream_removed(s: SparkSession, d: str) -> DataFrame:
     return flat(left)
 
 
+@query(f"WITH {POST} SELECT {FLAT} FROM postings")
+def stream_compacted(s: SparkSession, d: str) -> DataFrame:
+    """The streamed index after its batches have been merged into one."""
+    from quarry.streaming import incremental
+
+    base, merged = own_folder(s, "stream"), own_folder(s, "merged")
+    incremental.run(s, f"{d}/documents.parquet*", docs(s, d).schema, base, f"{base}/checkpoint").awaitTermination()
+    incremental.compact(s, base, merged)
+    return flat(incremental.current(s, merged))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS uri FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderkey % 7 = 0")
 def crawl_stale(s: SparkSession, d: str) -> DataFrame:
     """Cached pages whose validity of a year is over, or that were never fetched."""

@@ -33,6 +33,19 @@ def current(spark: SparkSession, target: str, removed: DataFrame | None = None)
     return postings if removed is None else index.without_docs(postings, removed)
 
 
+def compact(spark: SparkSession, target: str, into: str) -> None:
+    """Every document's newest version as one batch in a new folder, numbered as the newest, where the stream can go on.
+
+    Batches are small and many; this is the merge of partial indexes. The old folder stays as it is, so a reader of it, or a
+    compaction that is run again, sees no half-done state.
+    """
+    newest = spark.read.parquet(f"{target}/docs").agg(F.max("batch")).first()[0]
+    if newest is None:
+        return
+    current(spark, target).write.mode("overwrite").parquet(f"{into}/postings/batch={newest}")
+    spark.read.parquet(f"{target}/docs").select("doc_id").distinct().write.mode("overwrite").parquet(f"{into}/docs/batch={newest}")
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type in event-time windows; works on a stream or a table. An addition of Spark's own."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

@@ -179,3 +179,15 @@ def test_sources_and_stream(spark, tmp_path):
     words = {r.word for r in incremental.current(spark, f"{tmp_path}/out").where("doc_id = 1").collect()}
     assert "cow" in words and "cat" not in words
     assert ids(incremental.current(spark, f"{tmp_path}/out", docs.where("doc_id = 2"))) == [1]
+
+
+def test_compacted_stream_goes_on(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "old words here", "en", "s"), (2, "more words", "de", "s")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/in")
+    go = lambda out: incremental.run(spark, f"{tmp_path}/in", docs.schema, out, f"{tmp_path}/cp").awaitTermination()
+    go(f"{tmp_path}/out")
+    incremental.compact(spark, f"{tmp_path}/out", f"{tmp_path}/one")
+    assert rows(incremental.current(spark, f"{tmp_path}/one")) == rows(I.build(docs))
+    docs.where("doc_id = 1").withColumn("text", F.lit("fresh text")).write.mode("append").parquet(f"{tmp_path}/in")
+    go(f"{tmp_path}/one")
+    assert {r.word for r in incremental.current(spark, f"{tmp_path}/one").where("context = 'content'").collect()} == {"fresh", "text", "more", "words"}
