@@ -245,6 +245,20 @@ def test_near_copies_of_five_words(spark):
     assert {r.doc_id: r.component_id for r in got} == root | {None: 0}
 
 
+def test_near_copies_by_balls(spark):
+    """Two near copies that share no MinHash band, found by the balls of their fingerprints alone."""
+    rng = np.random.default_rng(8409)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+    other = list(words)
+    for edit in ("other", "another"):
+        other[int(rng.integers(10, 90))] = edit
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "one more text that is no copy of anything")]
+    shared = [simhash.signature(t)[-1] for _, t in rows]
+    assert not set(shared[0]) & set(shared[1]) and simhash.jaccard(*(simhash.shingles(t) for _, t in rows[:2])) >= 0.8
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 340)] + [(5, None), (6, 6)]
