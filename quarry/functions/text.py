@@ -15,7 +15,7 @@ PDF_TYPES = ("application/pdf",)
 
 def words(text: Column) -> Column:
     """Runs of letters, digits, _ and -."""
-    return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{Nd}_-]", " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[^\p{L}\p{Nd}_-]+"), "")
 
 
 def address_words(text: Column) -> Column:

@@ -1,8 +1,11 @@
 """From a query tree to one lazy DataFrame plan over postings(context, word, word_lc, doc_id, positions).
 
-Every node gives rows (doc_id, context, word, terms, positions): which words of a document hit. Boolean nodes only filter
-or append rows by document; what lands on the same word is merged once, at the end, so a tree of n nodes costs its joins
-and one aggregation. Prefix limits come from word counts of the matching words alone.
+Every node gives rows (doc_id, context, word, terms, positions): which words of a document hit. A tree of words costs one
+scan of the postings, whatever its size: each posting is marked with the leaves that it fits, a window over its document
+knows the marks of all of them, and both together say which nodes it is a row of (`marked`). A fuzzy word costs one scan
+more, for its best spelling. With phrases or prefix limits each node is a plan of its own, and boolean nodes filter or append
+rows by document (`node`); prefix limits come from word counts of the matching words alone. What lands on the same word is
+merged once, at the end.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.index import joined
 from quarry.plans.fuzzy import FuzzyConfig, fuzz
-from quarry.plans.language import In, Leaf, Node, Not, Pair, optimize, parse
+from quarry.plans.language import In, Leaf, Node, Not, Pair, leaves, optimize, parse
 
 ROWS = ["doc_id", "context", "word", "terms", "positions"]
 
@@ -56,9 +60,62 @@ class Evaluator:
     def __call__(self, query: str | Node) -> DataFrame:
         q = parse(query) if isinstance(query, str) else query
         q = optimize(q) if self.config.optimize else q
-        rows = self.node(q, None)
-        merged = rows.groupBy("doc_id", "context", "word").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-        return merged.select(*ROWS)
+        apart = self.config.word_limit or self.config.doc_limit or any("phrase" in x.kind for x in leaves(q))
+        rows = self.node(q, None) if apart else self.marked(q)
+        return joined(rows.select(*ROWS))
+
+    def marked(self, q: Node) -> DataFrame:
+        """The rows of a tree without phrases and limits: one scan, one shuffle by document, which the merge can use too."""
+        tests: list[Column] = []  # a mark each: does a posting fit?
+        best: list[Column] = []  # a fuzzy word each: the rank of the nearest spelling that has any hit
+
+        def mark(fits: Column) -> int:
+            tests.append(F.coalesce(fits, F.lit(False)))
+            return len(tests) - 1
+
+        on = lambda k: F.get("own", F.lit(k))
+        held = lambda k: F.get("held", F.lit(k))
+
+        def walk(q: Node, contexts: tuple[str, ...] | None) -> tuple[list[tuple[Column, Column]], Column]:
+            """By which leaves a posting is a row of the node (condition, terms), and whether its document has any row of it."""
+            scope = F.col("context").isin(*contexts) if contexts is not None else F.lit(True)
+            match q:
+                case Leaf("fuzzy", text):
+                    tries = [text, *(w for w, _ in fuzz(self.config.fuzzy, text))]
+                    rank = F.coalesce(*[F.when(F.col("word_lc").startswith(w.lower()), F.lit(k)) for k, w in enumerate(tries)])
+                    at = F.col(f"best{len(best)}")
+                    best.append(F.min(F.when(scope, rank)).alias(f"best{len(best)}"))
+                    m = mark(scope & F.startswith("word_lc", F.get(F.array(*[F.lit(w.lower()) for w in tries]), at)))
+                    return [(on(m), F.array(F.get(F.array(*[F.lit(w) for w in tries]), at)))], held(m)
+                case Leaf(kind, text):
+                    m = mark(scope & (F.col("word").startswith(text) if kind == "case_word" else F.col("word_lc").startswith(text.lower())))
+                    return [(on(m), F.array(F.lit(text)))], held(m)
+                case In(names, of):
+                    return walk(of, names)
+                case Not(of):
+                    out = ~walk(of, contexts)[1]
+                    m = mark(scope)
+                    return [(on(m) & out, F.array(F.lit("")))], held(m) & out
+                case Pair("or", left, right):
+                    (a, in_a), (b, in_b) = walk(left, contexts), walk(right, contexts)
+                    return a + b, in_a | in_b
+                case Pair("but", left, right):
+                    (a, in_a), (_, in_b) = walk(left, contexts), walk(right, contexts)
+                    return [(c & ~in_b, t) for c, t in a], in_a & ~in_b
+                case Pair(_, left, right):
+                    (a, in_a), (b, in_b) = walk(left, contexts), walk(right, contexts)
+                    known = F.col("doc_id").isNotNull()
+                    return [(c & in_b & known, t) for c, t in a] + [(c & in_a & known, t) for c, t in b], in_a & in_b
+
+        hits, _ = walk(q, None)
+        rows = self.postings.select("doc_id", "context", "word", "word_lc", "positions")
+        if best:
+            rows = rows.crossJoin(F.broadcast(self.postings.agg(*best)))  # one row
+        rows = rows.select("doc_id", "context", "word", "positions", F.array(*tests).alias("own"), *[f"best{k}" for k in range(len(best))]).where(F.array_contains("own", True))
+        document = Window.partitionBy("doc_id")
+        rows = rows.select("*", F.array(*[F.bool_or(on(k)).over(document) & F.col("doc_id").isNotNull() for k in range(len(tests))]).alias("held"))  # a null id is no document's
+        terms = F.flatten(F.array(*[F.when(c, t).otherwise(F.array().cast("array<string>")) for c, t in hits]))
+        return rows.select("doc_id", "context", "word", terms.alias("terms"), "positions").where(F.size("terms") > 0)
 
     def scope(self, contexts: tuple[str, ...] | None) -> DataFrame:
         return self.postings.where(F.col("context").isin(*contexts)) if contexts is not None else self.postings
