@@ -263,11 +263,14 @@ def split(postings: DataFrame, by: str, n: int, buckets: int = 1024) -> DataFram
     sizes reach the driver.
     """
     piece = {"context": F.col("context"), "document": F.col("doc_id").cast("string"), "word": F.col("word")}[by]
+    bucket = F.pmod(F.xxhash64(piece), F.lit(buckets))
     if by != "context":
-        piece = F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("string")
+        piece = bucket.cast("string")
     size = F.countDistinct("word") if by == "context" else F.sum(F.size("positions"))
     found = postings.groupBy(piece.alias("piece")).agg(size.cast("long").alias("size")).collect()  # a row per context or bucket
     part = allotted([(r.piece, r.size) for r in found], n)
+    if by != "context":  # looked up by place, not by going through a map's keys
+        return postings.withColumn("part", F.get(F.array(*[F.lit(part.get(str(k))).cast("int") for k in range(buckets)]), bucket.cast("int")))
     by_part = F.create_map(*[F.lit(x) for kv in part.items() for x in kv]) if part else F.create_map().cast("map<string,int>")
     return postings.withColumn("part", by_part[piece])
 

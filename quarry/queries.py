@@ -880,8 +880,9 @@ for _by2 in ("document", "word"):
         """Four parts of like size, none of which divides a document or word unless one piece alone is larger than a part."""
         p = I.split(post(s, d), by, 4)
         key = "doc_id" if by == "document" else "word"
-        sizes = p.groupBy("part").agg(F.sum(F.size("positions")).alias("n"))
-        most = p.groupBy(key).agg(F.sum(F.size("positions")).alias("n"), F.countDistinct("part").alias("in"))
+        pieces = p.groupBy(key, "part").agg(F.sum(F.size("positions")).alias("n"))  # shuffled once for both
+        sizes = pieces.groupBy("part").agg(F.sum("n").alias("n"))
+        most = pieces.groupBy(key).agg(F.sum("n").alias("n"), F.count("part").alias("in"))
         whole = most.agg((F.max("in") == 1).alias("whole"), F.max("n").alias("top"))
         total = sizes.agg(F.count("*").cast("int").alias("parts"), F.sum("n").cast("long").alias("positions"), F.max("n").alias("largest"))
         return total.crossJoin(whole).select("parts", "positions", (F.col("largest") <= F.col("positions") * 0.3 + F.col("top")).alias("even"), "whole")  # one row each
