@@ -151,8 +151,8 @@ def joined(rows: DataFrame) -> DataFrame:
 
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left without right's positions; what has none left goes."""
-    r = right.select(*KEY, F.col("positions").alias("gone"))
-    rest = left.join(r, KEY, "left").withColumn("positions", F.when(F.col("gone").isNull(), F.col("positions")).otherwise(F.array_except("positions", "gone")))
+    r = right.where(F.size("positions") > 0).select(*KEY, F.col("positions").alias("gone"))
+    rest = left.join(r, KEY[::-1], "left").withColumn("positions", F.when(F.col("gone").isNull(), F.col("positions")).otherwise(F.array_except("positions", "gone")))
     return with_lower(rest.where(F.size("positions") > 0))
 
 
