@@ -835,7 +835,8 @@ def mr_map_fold(s: SparkSession, d: str) -> DataFrame:
 def mr_partition(s: SparkSession, d: str) -> DataFrame:
     """Keys dealt to parts by a partitioner of one's own: word length."""
     words = docs(s, d).select(F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("key"))
-    return M.partitioned(words, F.length("key"), 4).groupBy("part").agg(F.count("*").alias("n"))
+    combined = words.groupBy("key").agg(F.count("*").alias("value"))
+    return M.partitioned(combined, F.length("key"), 4).groupBy("part").agg(F.sum("value").alias("n"))
 
 
 @query("SELECT doc_id, '{\"cmd\":\"insert\",\"uri\":\"doc:' || doc_id || '\",\"lang\":\"' || lang || '\"}' AS command FROM documents")
