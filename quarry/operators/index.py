@@ -168,7 +168,8 @@ def listed(postings: DataFrame, span: int = 1024) -> DataFrame:
     """
     one = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("positions", " ")).alias("o"))
     chunk = F.floor(F.col("doc_id") / span).cast("long").alias("chunk")
-    return postings.groupBy("context", "word", chunk).agg(F.count("*").alias("docs"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]), ",").alias("occurrences"))
+    lists = postings.groupBy("word", chunk, "context").agg(F.count("*").alias("docs"), F.array_join(F.sort_array(F.collect_list(one))["o"], ",").alias("occurrences"))
+    return lists.select("context", "word", "chunk", "docs", "occurrences")
 
 
 def deltas(positions: Column) -> Column:
